@@ -102,8 +102,8 @@ def optimal_blend_weights(df: DataFrame, preds: Sequence[str], y: str,
 def weight_sweep(df: DataFrame, a: str, b: str, y: str, steps: int = 11) -> DataFrame:
     """M16 — RMSE of ``w·a + (1-w)·b`` for w = 0, 1/(steps-1), …, 1.
     The grid is an explode of a parameter-sized sequence."""
-    w = (F.explode(F.sequence(F.lit(0), F.lit(steps - 1))) / F.lit(steps - 1)).alias("w")
-    x = df.select(a, b, y, w)
+    x = df.select(a, b, y, F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("_i")) \
+          .withColumn("w", F.col("_i") / F.lit(steps - 1))
     err = F.col(y) - (F.col("w") * F.col(a) + (F.lit(1.0) - F.col("w")) * F.col(b))
     return x.groupBy("w").agg(F.sqrt(F.avg(err * err)).alias("rmse"))
 
@@ -135,3 +135,40 @@ def scale_clip_grid(df: DataFrame, pred: str, y: str, fold: str, coefs: Sequence
                                           F.struct("_loss", "coef", "mag")).alias("b"))
     return best.select(fold, F.col("b.coef").alias("coef"), F.col("b.mag").alias("mag"),
                        F.sqrt(F.col("b._sse") / F.col("b._n")).alias("test_rmse"))
+
+
+def complement_sums(df: DataFrame, fold: str, x: str, y: str, group: Sequence[str] = ()) -> DataFrame:
+    """Per-fold sufficient statistics of the *training* rows (all folds but
+    this one): per-fold sums, then total − own.  Lets every fold's model be
+    fitted from one aggregate pass, without replicating rows per fold."""
+    from pyspark.sql import Window
+    s = df.groupBy(*group, fold).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
+                                     F.sum(F.col(x) * F.col(y)).alias("sxy"), F.sum(F.col(x) * F.col(x)).alias("sxx"))
+    w = Window.partitionBy(*group) if group else Window.partitionBy()
+    for c in ("n", "sx", "sy", "sxy", "sxx"):
+        s = s.withColumn(c, F.sum(c).over(w) - F.col(c))
+    return s
+
+
+def fold_linear_fits(df: DataFrame, fold: str, x: str, y: str) -> DataFrame:
+    """M9 — per fold, least squares y ~ x on the fold's training rows:
+    slope/intercept and the through-origin slope."""
+    s = complement_sums(df, fold, x, y)
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    slope = (F.col("sxy") - sx * sy / n) / (F.col("sxx") - sx * sx / n)
+    return s.select(fold, F.round(slope, COEF_DIGITS).alias("slope"),
+                    F.round(sy / n - slope * sx / n, COEF_DIGITS).alias("intercept"),
+                    F.round(F.col("sxy") / F.col("sxx"), COEF_DIGITS).alias("slope0"))
+
+
+def resimulate(df: DataFrame, key: str, wins: str, draws: str, losses: str, n_trials: int, seed) -> DataFrame:
+    """M18 — Monte-Carlo re-simulation: n trials per key drawn from the
+    key's empirical win/draw/loss shares (hashed uniforms); mean simulated
+    outcome per key.  Trials are an explode of a parameter-sized sequence."""
+    from tessera.functions.hashing import uniform
+    t = df.select(key, wins, draws, losses, F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))).alias("trial"))
+    tot = F.col(wins) + F.col(draws) + F.col(losses)
+    u = uniform(seed, key, "trial")
+    o = (F.when(u < F.col(losses) / tot, F.lit(-1)).when(u < (F.col(losses) + F.col(draws)) / tot, F.lit(0))
+         .otherwise(F.lit(1)))
+    return t.select(key, o.alias("o")).groupBy(key).agg(F.avg("o").alias("sim_mean"))

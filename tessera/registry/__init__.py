@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
-_MODULES = ("flagship", "scans", "columns", "joins", "aggs", "ordered", "reshape", "text",
+_MODULES = ("flagship", "scans", "columns", "joins", "aggs", "ordered", "reshape", "calib", "text",
             "learn", "ratings", "streams")
 
 
