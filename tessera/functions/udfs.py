@@ -149,9 +149,14 @@ def _lgamma(x):
 def t_two_sided_p(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
     """Two-sided p-value of Student's t: I_{ν/(ν+t²)}(ν/2, 1/2)."""
     t, v = np.abs(np.asarray(t, float)), np.asarray(dof, float)
-    x = v / (v + t * t)
+    x = np.clip(v / (v + t * t), 1e-300, 1.0)
     a, b = v / 2.0, np.full_like(v, 0.5)
     lbeta = _lgamma(a + b) - _lgamma(a) - _lgamma(b)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return _t_tail(x, a, b, lbeta)
+
+
+def _t_tail(x, a, b, lbeta):
     front = np.exp(lbeta + a * np.log(x) + b * np.log1p(-x))
     use_direct = x < (a + 1.0) / (a + b + 2.0)
     direct = front * _betacf(a, b, x) / a

@@ -142,7 +142,8 @@ def isotonic_cv(df: DataFrame, pred: str, label: str, fold: str, n_folds: int, r
     def fit_one(f):
         m = IsotonicRegression(featuresCol="features", labelCol=label).fit(x.where(F.col(fold) != f))
         t = m.transform(x.where(F.col(fold) == f))
-        return t.select(row_id, fold, F.coalesce(F.col("prediction"), F.col("_p")).alias(out))
+        return t.select(row_id, fold, F.col("_p").alias("raw_clipped"),
+                        F.coalesce(F.col("prediction"), F.col("_p")).alias(out))
 
     parts = _fit_folds(list(range(n_folds)), fit_one)
     out_df = parts[0]

@@ -294,16 +294,19 @@ def _long_preds(spark, d):
                                                   for m in ("p1", "p2", "p3")])).alias("s")).select("row_id", "s.*")
 
 
-@register("a21_weighted_mean", f"""WITH {P}
-SELECT row_id, round((4.0 * p1 + 2.0 * p2 + 1.0 * p3) / 7.0, 6) AS blend FROM p""")
+_LONG = "l AS (SELECT row_id, 'p1' AS model, p1 AS pred FROM p UNION ALL SELECT row_id, 'p2', p2 FROM p UNION ALL SELECT row_id, 'p3', p3 FROM p)"
+
+
+@register("a21_weighted_mean", f"""WITH {P}, {_LONG}, w AS (SELECT * FROM (VALUES ('p1', 4.0), ('p2', 2.0), ('p3', 1.0)) v(model, weight))
+SELECT row_id, round(sum(weight * pred) / sum(weight), 6) AS blend FROM l JOIN w USING (model) GROUP BY row_id""")
 def a21(spark, d):
     w = spark.createDataFrame([("p1", 4.0), ("p2", 2.0), ("p3", 1.0)], "model string, weight double")
     r = A.weighted_mean(_long_preds(spark, d), "row_id", "model", "pred", w)
     return r.select("row_id", F.round("blend", 6).alias("blend"))
 
 
-@register("a22_mean_prediction", f"""WITH {P}
-SELECT row_id, round((p1 + p2 + p3) / 3.0, 6) AS mean_pred FROM p""")
+@register("a22_mean_prediction", f"""WITH {P}, {_LONG}
+SELECT row_id, round(avg(pred), 6) AS mean_pred FROM l GROUP BY row_id""")
 def a22(spark, d):
     r = _long_preds(spark, d).groupBy("row_id").agg(F.avg("pred").alias("mean_pred"))
     return r.select("row_id", F.round("mean_pred", 6).alias("mean_pred"))
