@@ -20,8 +20,20 @@ _DEFAULTS = {
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # broadcast only below 32 MB; sides above go sort-merge / shuffle-hash
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+}
+
+# Runtime SQL settings every plan of this library assumes (safe to set on a
+# live session).  Broadcasts come only from explicit hints on tables whose
+# size is bounded by construction, or from AQE's *measured* shuffle sizes —
+# never from a static estimate, which can be wrong by orders of magnitude
+# after explodes and checkpoints.
+RUNTIME_SQL = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    "spark.sql.session.timeZone": "UTC",
 }
 
 
@@ -35,7 +47,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    conf = dict(_DEFAULTS)
+    conf = {**_DEFAULTS, **RUNTIME_SQL}
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -47,6 +59,13 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply RUNTIME_SQL to a session created elsewhere (e.g. a driver)."""
+    for k, v in RUNTIME_SQL.items():
+        spark.conf.set(k, v)
+    return spark
+
+
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A folder every executor can see, under the cluster's ``spark.checkpoint.dir``.
 

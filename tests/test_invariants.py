@@ -169,7 +169,9 @@ def test_elo_batch_matches_brute_force_and_stream(spark):
     batch = Q["m35_elo_ratings"](spark, SMALL).toPandas()
     comp_idx = {c: i for i, c in enumerate(COMPONENT_NAMES)}
     for r in batch.itertuples():
-        assert abs(brute[(r.game, comp_idx[r.component], r.option)] - r.elo) < 1e-9
+        want = brute.get((r.game, comp_idx[r.component], r.option), 1000.0)  # unseen options keep 1000
+        assert abs(want - r.elo) < 1e-9
+        assert (r.match_count == 0) == ((r.game, comp_idx[r.component], r.option) not in brute)
     # rating mass is conserved per (game, component) up to the K·(e1+e2-1) drift
     tot = batch.groupby(["game", "component"])["elo"].sum()
     cnt = batch.groupby(["game", "component"])["elo"].count()
