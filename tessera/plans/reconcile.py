@@ -30,15 +30,27 @@ from tessera.operators.reshape import unpivot
 def baseline_pairs(meas: DataFrame, key: str, run: str, order: Sequence[str],
                    features: Sequence[str], baseline_run: int) -> DataFrame:
     """W1 + N2 + J12: (feature, run, key, a = run value, b = baseline value)."""
-    first = dedup_first(meas.select(key, run, *order, *features), [key, run], list(order))
-    long = unpivot(first.drop(*order), [key, run], features, "feature", "value")
-    base = long.where(F.col(run) == baseline_run).select(key, "feature", F.col("value").alias("b"))
-    other = long.where(F.col(run) != baseline_run).select(key, run, "feature", F.col("value").alias("a"))
+    first = dedup_first(meas.select(key, run, *order, *features), [key, run], list(order)).drop(*order)
+    # split by run before unpivoting so the run predicates reach the scan
+    base = unpivot(first.where(F.col(run) == baseline_run), [key, run], features, "feature", "value") \
+        .select(key, "feature", F.col("value").alias("b"))
+    other = unpivot(first.where(F.col(run) != baseline_run), [key, run], features, "feature", "value") \
+        .select(key, run, "feature", F.col("value").alias("a"))
     return other.join(base, [key, "feature"])
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute once for several consumers (fit and prediction).  Persisted
+    memory-and-disk: a lost block is recomputed from lineage, so executor
+    loss stays safe; the pairs table is deduplicated (one row per key, run
+    and feature), far smaller than the raw measurements."""
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def fit_runs(pairs: DataFrame, run: str) -> DataFrame:
     """M11 per (feature, run) + A17 MAPE of the back-transformed estimate."""
+    pairs = materialize(pairs)
     fit = loglog_fit(pairs, ["feature", run], "a", "b")
     pred = loglog_predict(pairs, fit, ["feature", run], "a")
     mape = pred.groupBy("feature", run).agg(
@@ -48,6 +60,7 @@ def fit_runs(pairs: DataFrame, run: str) -> DataFrame:
 
 def estimates(pairs: DataFrame, key: str, run: str) -> DataFrame:
     """A4 — mean of the per-run estimates per (key, feature)."""
+    pairs = materialize(pairs)
     fit = loglog_fit(pairs, ["feature", run], "a", "b")
     pred = loglog_predict(pairs, fit, ["feature", run], "a")
     return pred.groupBy(key, "feature").agg(F.avg("estimate").alias("estimate"),
