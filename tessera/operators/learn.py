@@ -253,7 +253,7 @@ def nested_cv_linear(df: DataFrame, x: str, y: str, outer: str, inner: str, row_
     per (outer, inner) cell sufficient statistics; the inner model for
     (o, i) trains on cells with outer ≠ o and inner ≠ i; outer-train rows
     get their inner OOF prediction, outer-test rows the mean of the inner
-    models' predictions.  Output (outer, row_id, prediction)."""
+    models' predictions.  Output (outer_fold, row_id, prediction)."""
     s = df.groupBy(outer, inner).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
                                      F.sum(F.col(x) * F.col(y)).alias("sxy"), F.sum(F.col(x) * F.col(x)).alias("sxx"))
     cells = s.collect()  # outer × inner rows: parameter-sized
@@ -267,16 +267,17 @@ def nested_cv_linear(df: DataFrame, x: str, y: str, outer: str, inner: str, row_
             sx, sy = sum(r["sx"] for r in tr), sum(r["sy"] for r in tr)
             sxy, sxx = sum(r["sxy"] for r in tr), sum(r["sxx"] for r in tr)
             b = (sxy - sx * sy / n) / (sxx - sx * sx / n)
-            coefs.append((o, i, float(b), float(sy / n - b * sx / n)))
+            # rounded like every closed-form fit: engine-independent predictions
+            coefs.append((o, i, round(float(b), 9), round(float(sy / n - b * sx / n), 9)))
     spark = df.sparkSession
     cdf = spark.createDataFrame(coefs, "o long, i long, slope double, intercept double")
     # outer-train rows: inner model of their own inner fold (o ≠ row's outer)
     rep = df.select(row_id, outer, inner, x, F.explode(F.array(*[F.lit(o) for o in outs])).alias("o")) \
             .where(F.col("o") != F.col(outer)).withColumnRenamed(inner, "i")
     tr = rep.join(F.broadcast(cdf), ["o", "i"]).select(
-        F.col("o").alias("outer"), row_id, (F.col("intercept") + F.col("slope") * F.col(x)).alias("prediction"))
+        F.col("o").alias("outer_fold"), row_id, (F.col("intercept") + F.col("slope") * F.col(x)).alias("prediction"))
     # outer-test rows: mean over the inner models of their outer fold
     mean_c = cdf.groupBy("o").agg(F.avg("slope").alias("ms"), F.avg("intercept").alias("mi"))
     te = df.join(F.broadcast(mean_c), F.col("o") == F.col(outer)).select(
-        F.col("o").alias("outer"), row_id, (F.col("mi") + F.col("ms") * F.col(x)).alias("prediction"))
+        F.col("o").alias("outer_fold"), row_id, (F.col("mi") + F.col("ms") * F.col(x)).alias("prediction"))
     return tr.unionByName(te)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from tessera.functions.hashing import hash_int
 from tessera.operators import learn as L
 from tessera.operators.folds import group_kfold
-from tessera.plans.fixtures import MATCHES_SQL, matches, predictions
+from tessera.functions.hashing import sql_hash_int
+from tessera.plans.fixtures import MATCHES_SQL, PREDICTIONS_SQL, matches, predictions
 from tessera.registry import register
 from tessera.session import fresh_path
 from tessera.sources.tables import table
@@ -140,12 +141,27 @@ def m13(spark, d):
     return L.interpolate_knots(p.select("row_id", "p1"), "p1", knots, "cir")
 
 
-@register("m24_nested_cv")
+_NCV_SUMS = "count(*) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxy) AS sxy, sum(sxx) AS sxx"
+
+
+@register("m24_nested_cv", f"""WITH p AS ({PREDICTIONS_SQL}),
+pf AS (SELECT *, {sql_hash_int(51, 'CAST(game AS VARCHAR)')} % 4 AS o_f, {sql_hash_int(52, 'CAST(game AS VARCHAR)')} % 3 AS i_f FROM p),
+c AS (SELECT o_f, i_f, count(*) AS n, sum(p1) AS sx, sum(y) AS sy, sum(p1 * y) AS sxy, sum(p1 * p1) AS sxx FROM pf GROUP BY ALL),
+oi AS (SELECT DISTINCT a.o_f AS o, b.i_f AS i FROM c a, c b),
+t AS (SELECT oi.o, oi.i, sum(c.n) AS n, sum(c.sx) AS sx, sum(c.sy) AS sy, sum(c.sxy) AS sxy, sum(c.sxx) AS sxx
+      FROM oi JOIN c ON c.o_f <> oi.o AND c.i_f <> oi.i GROUP BY ALL),
+b AS (SELECT o, i, n, sx, sy, (sxy - sx * sy / n) / (sxx - sx * sx / n) AS b FROM t),
+coef AS (SELECT o, i, round(b, 9) AS slope, round(sy / n - b * sx / n, 9) AS intercept FROM b),
+mc AS (SELECT o, avg(slope) AS ms, avg(intercept) AS mi FROM coef GROUP BY o)
+SELECT coef.o AS outer_fold, pf.row_id, round(coef.intercept + coef.slope * pf.p1, 6) AS prediction
+FROM pf JOIN coef ON coef.o <> pf.o_f AND coef.i = pf.i_f
+UNION ALL SELECT mc.o, pf.row_id, round(mc.mi + mc.ms * pf.p1, 6) FROM pf JOIN mc ON mc.o = pf.o_f""")
 def m24(spark, d):
-    """Nested 4×3 CV of y ~ p1: (outer, row_id, prediction)."""
+    """Nested 4×3 CV of y ~ p1: (outer_fold, row_id, prediction)."""
     p = predictions(spark, d).withColumn("outer", F.pmod(hash_int(51, "game"), F.lit(4))) \
                              .withColumn("inner", F.pmod(hash_int(52, "game"), F.lit(3)))
-    return L.nested_cv_linear(p, "p1", "y", "outer", "inner", "row_id")
+    r = L.nested_cv_linear(p, "p1", "y", "outer", "inner", "row_id")
+    return r.select("outer_fold", "row_id", F.round("prediction", 6).alias("prediction"))
 
 
 @register("m25_stacking")

@@ -127,7 +127,7 @@ def test_nested_cv_rows(spark):
     r = Q["m24_nested_cv"](spark, SMALL)
     n = predictions(spark, SMALL).count()
     assert r.count() == 4 * n  # once as outer-test + three times as outer-train
-    assert r.select("outer", "row_id").distinct().count() == 4 * predictions(spark, SMALL).select("row_id").distinct().count()
+    assert r.select("outer_fold", "row_id").distinct().count() == 4 * predictions(spark, SMALL).select("row_id").distinct().count()
 
 
 def test_gram_selection_matches_numpy(spark):
