@@ -6,8 +6,7 @@ from tessera.functions.hashing import hkey
 from tessera.operators import joins as J
 from tessera.operators import reshape as R
 from tessera.plans import reconcile as rc
-from tessera.plans.fixtures import (COMPONENTS, MATCHES_SQL, MEASURED_FEATURES, PREDICTIONS_SQL, matches,
-                                    measurements, predictions)
+from tessera.plans.fixtures import COMPONENTS, MATCHES_SQL, PREDICTIONS_SQL, matches, predictions
 from tessera.registry import register
 from tessera.registry.flagship import _PAIRS_SQL, _pairs
 from tessera.sources.tables import table

@@ -7,7 +7,7 @@ from tessera.functions.hashing import hash_int
 from tessera.operators import learn as L
 from tessera.operators.folds import group_kfold
 from tessera.functions.hashing import sql_hash_int
-from tessera.plans.fixtures import MATCHES_SQL, PREDICTIONS_SQL, matches, predictions
+from tessera.plans.fixtures import PREDICTIONS_SQL, matches, predictions
 from tessera.registry import register
 from tessera.session import fresh_path
 from tessera.sources.tables import table
