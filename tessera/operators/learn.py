@@ -60,6 +60,16 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
 
+def fit_frame(df: DataFrame) -> DataFrame:
+    """The frame an iterative fit scans many times: spread over 2× the
+    cluster's cores (not the SQL shuffle width, which can leave hundreds of
+    tiny tasks per iteration) and persisted memory-and-disk (lost blocks
+    are recomputed from lineage)."""
+    from pyspark import StorageLevel
+    n = max(2, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def pca(df: DataFrame, vec_col: str, k: int, keep: Sequence[str] = ()) -> DataFrame:
     """M5 — principal components (mean-centred) as columns pc_0..pc_{k-1}."""
     from pyspark.ml.feature import PCA, StandardScaler
@@ -107,7 +117,7 @@ def grouped_cv(df: DataFrame, make_estimator, features: Sequence[str], label: st
                                       *([group] if group else []), *([weight] if weight else []))
     if validation_frac > 0 and group:
         x = x.withColumn("_is_val", uniform(seed, group) < validation_frac)
-    x = x.persist()
+    x = fit_frame(x)
 
     def fit_one(f):
         train = x.where(F.col(fold) != f)
@@ -135,9 +145,8 @@ def isotonic_cv(df: DataFrame, pred: str, label: str, fold: str, n_folds: int, r
     model, NULL → raw."""
     from pyspark.ml.regression import IsotonicRegression
     x = df.select(row_id, fold, label, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(pred))).alias("_p"))
-    x = x.withColumn("features", F.array("_p")).persist()
     from pyspark.ml.functions import array_to_vector
-    x = x.withColumn("features", array_to_vector("features"))
+    x = fit_frame(x.withColumn("features", array_to_vector(F.array("_p"))))
 
     def fit_one(f):
         m = IsotonicRegression(featuresCol="features", labelCol=label).fit(x.where(F.col(fold) != f))

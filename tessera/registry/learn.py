@@ -116,7 +116,7 @@ def m10(spark, d):
                   (F.col("l_linenumber") * F.col("l_linenumber")).cast("double").alias("n2"),
                   F.pmod(hash_int(5, "l_orderkey", "l_linenumber"), F.lit(5)).cast("int").alias("fold"))
     feats = ["l_quantity", "n", "x_n", "n2"]
-    a = L.assemble(x, feats)
+    a = L.fit_frame(L.assemble(x, feats))
     lr = LinearRegression(labelCol="y", elasticNetParam=1.0)
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.001, 0.01, 0.1]).build()
     cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol="y"),
@@ -219,7 +219,7 @@ def m29(spark, d):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array
     base = _cv_frame(spark, d).withColumn("cls", (F.col("outcome") + 1).cast("double"))
-    x = L.assemble(base, FEATURES).persist()
+    x = L.fit_frame(L.assemble(base, FEATURES))
     parts = []
     for f in range(5):
         m = LogisticRegression(family="multinomial", labelCol="cls", maxIter=30).fit(x.where(F.col("fold") != f))
@@ -242,7 +242,7 @@ def m30(spark, d):
     from pyspark.ml.regression import LinearRegression
     base = _cv_frame(spark, d)
     cls = (F.when(F.col("utility") > 0.999, 2.0).when(F.col("utility") < -0.999, 0.0).otherwise(1.0))
-    x = L.assemble(base.withColumn("sat", cls), FEATURES).persist()
+    x = L.fit_frame(L.assemble(base.withColumn("sat", cls), FEATURES))
     parts = []
     for f in range(5):
         tr, te = x.where(F.col("fold") != f), x.where(F.col("fold") == f)
@@ -286,7 +286,7 @@ def m34(spark, d):
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.regression import LinearRegression
     from pyspark.ml.tuning import CrossValidator
-    x = L.assemble(_cv_frame(spark, d), FEATURES).withColumn("fold", F.col("fold").cast("int"))
+    x = L.fit_frame(L.assemble(_cv_frame(spark, d), FEATURES).withColumn("fold", F.col("fold").cast("int")))
     rng = np.random.default_rng(34)
     lr = LinearRegression(labelCol="utility")
     trials = [{lr.regParam: float(10 ** rng.uniform(-4, 0)), lr.elasticNetParam: float(rng.uniform(0, 1))}
