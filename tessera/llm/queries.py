@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, sharding
+from tessera.llm import mixing, sharding, simhash
 from tessera.llm.common import read, text_of
 
 QUERIES: dict = {}
@@ -51,3 +51,9 @@ def op9_sharding(spark, sf_dir):
         "doc_id", "text", (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"))
     s = sharding.shard_rows(d, n_shards=24)
     return s.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query("op7_simhash")
+def op7_simhash(spark, sf_dir):
+    near = simhash.near_duplicates(read(spark, sf_dir, "documents"), k=3, radius=3, keep=["doc_id"])
+    return near.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
