@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, sharding, simhash
-from tessera.llm.common import read, text_of
+from tessera.llm import mixing, secrets, sharding, simhash, toxicity
+from tessera.llm.common import held_out, read, text_of
 
 QUERIES: dict = {}
 
@@ -57,3 +57,19 @@ def op9_sharding(spark, sf_dir):
 def op7_simhash(spark, sf_dir):
     near = simhash.near_duplicates(read(spark, sf_dir, "documents"), k=3, radius=3, keep=["doc_id"])
     return near.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+@query("op3_secrets")
+def op3_secrets(spark, sf_dir):
+    return secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def _scored(docs, score, cut):
+    return (score(docs.select("doc_id", "text"))
+            .select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted")))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return _scored(docs, toxicity.fit(docs, read(spark, sf_dir, "labels"), "toxic"), 0.5)
