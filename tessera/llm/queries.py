@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, secrets, sharding, simhash, toxicity
+from tessera.llm import mixing, quality, secrets, sharding, simhash, toxicity
 from tessera.llm.common import held_out, read, text_of
 
 QUERIES: dict = {}
@@ -73,3 +73,9 @@ def _scored(docs, score, cut):
 def op8_toxicity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return _scored(docs, toxicity.fit(docs, read(spark, sf_dir, "labels"), "toxic"), 0.5)
+
+
+@query("op5_quality")
+def op5_quality(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return _scored(docs, quality.fit(docs, read(spark, sf_dir, "labels"), "quality"), 0.3)
