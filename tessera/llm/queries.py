@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, quality, secrets, sharding, simhash, toxicity
+from tessera.llm import html, mixing, quality, secrets, sharding, simhash, toxicity
 from tessera.llm.common import held_out, read, text_of
 
 QUERIES: dict = {}
@@ -79,3 +79,9 @@ def op8_toxicity(spark, sf_dir):
 def op5_quality(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return _scored(docs, quality.fit(docs, read(spark, sf_dir, "labels"), "quality"), 0.3)
+
+
+@query("op6_html")
+def op6_html(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    return html.extract(pages.select("page_id", "url", "html"), html.fit(pages)).drop("html")
