@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import html, mixing, quality, secrets, sharding, simhash, toxicity
+from tessera.llm import decontam, html, mixing, quality, secrets, sharding, simhash, toxicity
 from tessera.llm.common import held_out, read, text_of
 
 QUERIES: dict = {}
@@ -85,3 +85,10 @@ def op5_quality(spark, sf_dir):
 def op6_html(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
     return html.extract(pages.select("page_id", "url", "html"), html.fit(pages)).drop("html")
+
+
+@query("op4_decontam")
+def op4_decontam(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.contamination(docs, read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
