@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, html, mixing, quality, secrets, sharding, simhash, toxicity
+from tessera.llm import decontam, html, mixing, quality, secrets, sharding, simhash, suffixdedup, toxicity
 from tessera.llm.common import held_out, read, text_of
 
 QUERIES: dict = {}
@@ -92,3 +92,8 @@ def op4_decontam(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.contamination(docs, read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op2_suffixdedup")
+def op2_suffixdedup(spark, sf_dir):
+    return suffixdedup.remove_repeats(read(spark, sf_dir, "documents"), length=400, keep=["doc_id"]).drop("spans")
