@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, html, mixing, quality, secrets, sharding, simhash, suffixdedup, toxicity
+from tessera.llm import decontam, html, mixing, ordermh, quality, secrets, sharding, simhash, suffixdedup, toxicity
 from tessera.llm.common import held_out, read, text_of
 
 QUERIES: dict = {}
@@ -97,3 +97,11 @@ def op4_decontam(spark, sf_dir):
 @query("op2_suffixdedup")
 def op2_suffixdedup(spark, sf_dir):
     return suffixdedup.remove_repeats(read(spark, sf_dir, "documents"), length=400, keep=["doc_id"]).drop("spans")
+
+
+@query("op10_ordermh")
+def op10_ordermh(spark, sf_dir):
+    d = ordermh.edited_pairs(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
+                    ordermh.as_text(F.col("signature")).alias("fingerprint"),
+                    ordermh.as_text(F.col("edited_signature")).alias("edited_fingerprint"), "near_edited", "near_next")

@@ -18,7 +18,7 @@ the cluster.  No pair list, tree or component goes through the driver.
 Nulls and empty texts have no words and share fingerprint zero, which is
 linked like any other.  Repeated rows and ids share a component.  A component
 whose ids are all null has a null component_id.  Empty tables give empty
-results.  Columns of the input named fingerprint or component_id are replaced.
+results.  Columns of the input named like the result's are replaced.
 """
 
 from __future__ import annotations
@@ -240,8 +240,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
                     radius: int = RADIUS, keep: list[str] | None = None) -> DataFrame:
-    """The rows (with the columns of ``keep``, else all) with fingerprint (signed long) and component_id."""
-    cols = [c for c in (keep or df.columns) if c not in ("fingerprint", "component_id")]
+    """The rows (with the columns of ``keep``, else all) with fingerprint (signed long), component_id and
+    component, the least fingerprint of the component."""
+    cols = [c for c in (keep or df.columns) if c not in ("fingerprint", "component_id", "component")]
     d = written(add_fingerprints(df.select(*{*cols, id_col, text_col}), text_col, k).select(
         *cols, F.col(id_col).alias(P + "id"), "fingerprint"), "simhash")
     prints = d.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(P + "id").alias("least")).checkpoint()
@@ -249,8 +250,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rooted = prints.join(comp, prints.fp == comp.u, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return d.join(known, d.fingerprint == known.fp).select(*cols, "fingerprint", "component_id")
+    known = rooted.select("fp", "root").join(least, "root").select("fp", "component_id", F.col("root").alias("component"))
+    return d.join(known, d.fingerprint == known.fp).select(*cols, "fingerprint", "component_id", "component")
 
 
 def hex_fingerprint(col: str = "fingerprint"):
