@@ -69,7 +69,7 @@ def add_fingerprints(df: DataFrame, text_col: str = "text", k: int = SHINGLE, ou
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+    return np.bitwise_count((a ^ b).view(np.uint64))  # of a signed number it would count those of its absolute value
 
 
 class BKForest:
