@@ -32,7 +32,8 @@ K = 3
 SLOTS = 32  # a power of two
 PICK = 2
 BITS = 26  # of a place
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
+MAX_BUCKETS = 8192  # larger tables get larger buckets
 
 
 def _where(n: Column, cond) -> Column:
@@ -104,7 +105,7 @@ def with_next(df: DataFrame, id_col: str, cols: list[str], bucket_bytes: int = B
     by text hash; null ids come last.
     """
     total, low = df.agg(F.sum(F.octet_length(text_of(text_col)) + 64), F.max(id_col)).first()
-    n = int((total or 0) // bucket_bytes) + 1
+    n = min(MAX_BUCKETS, int((total or 0) // bucket_bytes) + 1)
     cuts = []
     if n > 1:
         found = df.agg(F.percentile_approx(F.col(id_col), [i / n for i in range(1, n)], 100 * n)).first()[0]
