@@ -48,15 +48,30 @@ def _upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def _wider(a: Column, steps: list[int]) -> Column:
+    """least(a[i], a[i + step], ...) for all i that have them."""
+    return bind(a, lambda x: F.transform(_upto(F.size(x) - steps[-1]), lambda i: F.least(F.get(x, i), *[F.get(x, i + s) for s in steps])))
+
+
 def _fingerprints(hashes: Column, window: int, k: int) -> Column:
     """Places of the kept k-grams with their hash and the word hashes around them."""
     span = window - k + 1
 
+    def least(grams: Column) -> Column:
+        """The least of each ``span`` neighbours, from leasts of ever wider stretches."""
+        m, width = grams, 1
+        while width < span:
+            step = min(width, span - width)
+            more = [step, 2 * step] if width * 3 <= span else [step]
+            m = _wider(m, more)
+            width += more[-1]
+        return m
+
     def keep(grams: Column) -> Column:
-        def pick(i):
-            part = F.slice(grams, i + 1, span)
-            return i + F.array_position(part, F.array_min(part)).cast("int") - 1
-        return F.array_distinct(F.transform(_upto(F.size(grams) - (span - 1)), pick))
+        """Places of the leftmost least k-gram of each window, each once: where the least value is new, or its place has left."""
+        return bind(least(grams), lambda m: F.transform(
+            F.filter(_upto(F.size(m)), lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)) | (F.get(grams, i - 1) == F.get(m, i - 1))),
+            lambda i: i + F.array_position(F.slice(grams, i + 1, span), F.get(m, i)).cast("int") - 1))
 
     def rows(h: Column) -> Column:
         grams = F.transform(_upto(F.size(h) - (k - 1)), lambda i: F.xxhash64(F.slice(h, i + 1, k)))
