@@ -108,13 +108,14 @@ def welch(df: DataFrame, group: str, a: str, b: str, columns: Sequence[str]) ->
                     .alias("dof"))
 
 
-def run_differences(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """A20 — which columns differ between two runs on their common keys:
-    one aggregate of ``count_if(a.c IS DISTINCT FROM b.c)`` per column."""
-    j = a.select(key, *[F.col(c).alias(f"a_{c}") for c in columns]).join(
-        b.select(key, *[F.col(c).alias(f"b_{c}") for c in columns]), key)
-    row = j.agg(*[F.count_if(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))).alias(c) for c in columns])
-    return row.unpivot([], list(columns), "column", "n_diff").withColumn("differs", F.col("n_diff") > 0)
+def run_differences(base: DataFrame, others: DataFrame, key: str, run: str, columns: Sequence[str]) -> DataFrame:
+    """A20 — which columns differ between the baseline run and each other
+    run on their common keys: one aggregate of ``count_if(a.c IS DISTINCT
+    FROM b.c)`` per column and run."""
+    j = base.select(key, *[F.col(c).alias(f"a_{c}") for c in columns]).join(
+        others.select(key, run, *[F.col(c).alias(f"b_{c}") for c in columns]), key)
+    rows = j.groupBy(run).agg(*[F.count_if(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))).alias(c) for c in columns])
+    return rows.unpivot([run], list(columns), "column", "n_diff").withColumn("differs", F.col("n_diff") > 0)
 
 
 def weighted_mean(long: DataFrame, row: str, model: str, pred: str, weights: DataFrame) -> DataFrame:

@@ -101,11 +101,15 @@ def optimal_blend_weights(df: DataFrame, preds: Sequence[str], y: str,
 
 def weight_sweep(df: DataFrame, a: str, b: str, y: str, steps: int = 11) -> DataFrame:
     """M16 — RMSE of ``w·a + (1-w)·b`` for w = 0, 1/(steps-1), …, 1.
-    The grid is an explode of a parameter-sized sequence."""
-    x = df.select(a, b, y, F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("_i")) \
-          .withColumn("w", F.col("_i") / F.lit(steps - 1))
-    err = F.col(y) - (F.col("w") * F.col(a) + (F.lit(1.0) - F.col("w")) * F.col(b))
-    return x.groupBy("w").agg(F.sqrt(F.avg(err * err)).alias("rmse"))
+
+    The squared error is a quadratic in w: with r = y - b and s = a - b it is
+    (r - w·s)², so three sums over the rows give every weight.
+    """
+    r, s = F.col(y) - F.col(b), F.col(a) - F.col(b)
+    q = df.agg(F.avg(r * r).alias("_rr"), F.avg(r * s).alias("_rs"), F.avg(s * s).alias("_ss"))
+    q = q.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("w", F.col("_i") / F.lit(steps - 1))
+    w = F.col("w")
+    return q.select("w", F.sqrt(F.greatest(F.lit(0.0), F.col("_rr") - 2 * w * F.col("_rs") + w * w * F.col("_ss"))).alias("rmse"))
 
 
 def scale_clip_grid(df: DataFrame, pred: str, y: str, fold: str, coefs: Sequence[float],
@@ -161,14 +165,14 @@ def fold_linear_fits(df: DataFrame, fold: str, x: str, y: str) -> DataFrame:
                     F.round(F.col("sxy") / F.col("sxx"), COEF_DIGITS).alias("slope0"))
 
 
-def resimulate(df: DataFrame, key: str, wins: str, draws: str, losses: str, n_trials: int, seed) -> DataFrame:
-    """M18 — Monte-Carlo re-simulation: n trials per key drawn from the
-    key's empirical win/draw/loss shares (hashed uniforms); mean simulated
-    outcome per key.  Trials are an explode of a parameter-sized sequence."""
+def resimulate(rows: DataFrame, shares: DataFrame, key: str, row: str, wins: str, draws: str, losses: str, seed) -> DataFrame:
+    """M18 — Monte-Carlo re-simulation: every row of a key is one trial drawn
+    from the key's win/draw/loss shares (a uniform hashed from the row's id),
+    so a key has as many trials as outcomes; mean simulated outcome per key."""
     from tessera.functions.hashing import uniform
-    t = df.select(key, wins, draws, losses, F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))).alias("trial"))
+    t = rows.select(key, row).join(shares.select(key, wins, draws, losses), key)
     tot = F.col(wins) + F.col(draws) + F.col(losses)
-    u = uniform(seed, key, "trial")
+    u = uniform(seed, row)
     o = (F.when(u < F.col(losses) / tot, F.lit(-1)).when(u < (F.col(losses) + F.col(draws)) / tot, F.lit(0))
          .otherwise(F.lit(1)))
     return t.select(key, o.alias("o")).groupBy(key).agg(F.avg("o").alias("sim_mean"))

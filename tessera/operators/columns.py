@@ -44,6 +44,14 @@ def align_columns(df: DataFrame, template: DataFrame) -> DataFrame:
                        for f in template.schema.fields])
 
 
+def varying_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """P6 — (column, keep): whether a column has more than one non-null value.
+    Its least and greatest tell, so one pass serves any number of columns."""
+    cols = list(columns or df.columns)
+    row = df.agg(*[F.coalesce(F.min(F.col(f"`{c}`")) < F.max(F.col(f"`{c}`")), F.lit(False)).alias(c) for c in cols])
+    return row.unpivot([], cols, "column", "keep")
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False,
                     batch: int = 200) -> DataFrame:
     """P6 — (column, n_distinct, keep = n_distinct > 1) in one pass per

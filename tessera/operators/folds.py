@@ -143,10 +143,9 @@ def fewshot_draws(requests: DataFrame, request_key: str, examples: DataFrame, ex
     n = examples.count()  # one scalar
     ex = rank_by_hash(examples.withColumn("_h", hash_hex(seed, example_key)), "_h", out="_pos",
                       total=None, tiebreak=[example_key]).drop("_h")
+    if not n:  # nothing to draw from
+        return requests.select(request_key, F.lit(0).alias("shot")).where(F.lit(False)).crossJoin(ex.drop("_pos").limit(0))
     shots = requests.select(request_key, F.explode(F.sequence(F.lit(0), F.lit(min(k, n) - 1))).alias("shot"))
     shots = shots.withColumn("_pos", F.pmod(hash_int(seed, request_key) + F.col("shot"), F.lit(n)))
     return shots.join(ex, "_pos").drop("_pos")
 
-
-def hashed_uniform(seed, *key_cols) -> Column:
-    return uniform(seed, *key_cols)

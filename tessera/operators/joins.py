@@ -1,10 +1,9 @@
 """Lookup joins.
 
 Dictionary sides are broadcast only when their size is bounded by
-construction (fixed dimensions, model-sized tables) or checked
-(``checked_broadcast``); otherwise the plan is a shuffle join and AQE may
-still switch to broadcast from measured runtime sizes, or split a skewed
-key's partition.
+construction (fixed dimensions, model-sized tables); otherwise the plan is a
+shuffle join and AQE may still switch to broadcast from measured runtime
+sizes, or split a skewed key's partition.
 """
 
 from __future__ import annotations
@@ -16,14 +15,6 @@ from pyspark.sql import functions as F
 
 from tessera.operators.ordered import dedup_first
 
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after counting the side (one scalar action)."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def strict_lookup(df: DataFrame, dim: DataFrame, key: str, values: Sequence[str],
                   on_miss: str = "raise", flag: str = "missing") -> DataFrame:
     """J1 — every left key must find its dictionary row.

@@ -61,13 +61,11 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
 
 
 def fit_frame(df: DataFrame) -> DataFrame:
-    """The frame an iterative fit scans many times: spread over 2× the
-    cluster's cores (not the SQL shuffle width, which can leave hundreds of
-    tiny tasks per iteration) and persisted memory-and-disk (lost blocks
-    are recomputed from lineage)."""
+    """The frame an iterative fit scans many times: persisted memory-and-disk
+    (lost blocks are recomputed from lineage) in partitions that AQE sizes by
+    bytes, so their number follows the data, not the cores that happen to be up."""
     from pyspark import StorageLevel
-    n = max(2, 2 * df.sparkSession.sparkContext.defaultParallelism)
-    return df.repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
+    return df.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def pca(df: DataFrame, vec_col: str, k: int, keep: Sequence[str] = ()) -> DataFrame:
@@ -90,11 +88,11 @@ def kmeans(df: DataFrame, vec_col: str, k: int, seed: int = 7, bisecting: bool =
 
 def cluster_diagnostics(df: DataFrame, cluster: str, arr: str) -> DataFrame:
     """M7 — per cluster: mean of each row's (population) std over its
-    values and mean number of NULL values per row."""
-    n = F.size(arr)
-    mean = F.aggregate(arr, F.lit(0.0), lambda a, x: a + x) / n
-    x = df.withColumn("_m", mean)
-    var = F.aggregate(arr, F.lit(0.0), lambda a, v: a + (v - F.col("_m")) * (v - F.col("_m"))) / n
+    non-null values and mean number of NULL values per row; rows without
+    any value have no std and count in ``n`` and ``mean_nulls``."""
+    known = F.filter(arr, lambda v: v.isNotNull())  # as numpy's nanstd: over the values there are
+    x = df.withColumn("_k", known).withColumn("_m", F.aggregate("_k", F.lit(0.0), lambda a, x: a + x) / F.size("_k"))
+    var = F.aggregate("_k", F.lit(0.0), lambda a, v: a + (v - F.col("_m")) * (v - F.col("_m"))) / F.size("_k")
     nulls = F.size(F.filter(arr, lambda v: v.isNull()))
     return x.groupBy(cluster).agg(F.avg(F.sqrt(var)).alias("mean_row_std"), F.avg(nulls).alias("mean_nulls"),
                                   F.count(F.lit(1)).alias("n"))

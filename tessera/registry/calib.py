@@ -7,9 +7,9 @@ from tessera.functions.hashing import hash_int, sql_hash_int, sql_uniform
 from tessera.operators import augment as G
 from tessera.operators import calib as K
 from tessera.operators.aggs import two_sided
-from tessera.operators.folds import group_fold_table, row_folds
+from tessera.operators.folds import group_fold_table, group_kfold
 from tessera.operators.ordered import average_rank, dedup_first
-from tessera.operators.ratings import component_rows
+from tessera.operators.ratings import component_rows, packed_field_lookup
 from tessera.plans.fixtures import MATCHES_SQL, PREDICTIONS_SQL, matches, predictions
 from tessera.registry import register
 from tessera.registry.aggs import FOLD_SQL
@@ -18,11 +18,12 @@ from tessera.sources.tables import table
 
 M = f"m AS ({MATCHES_SQL})"
 P = f"p AS ({PREDICTIONS_SQL})"
-PF = f"pf AS (SELECT *, {sql_hash_int(4, 'row_id')} % 5 AS fold FROM p)"
+PF = f"pf AS (SELECT p.*, f.fold FROM p JOIN ({FOLD_SQL(5, 4, 'game', 'p')}) f USING (game))"
 
 
 def _pf(spark, d):
-    return row_folds(predictions(spark, d), "row_id", 5, 4)
+    """Predictions with group folds: a game's rows are all on one side of a split."""
+    return group_kfold(predictions(spark, d), "game", 5, 4)
 
 
 @register("m9_fold_linear_fit", f"""WITH {P}, {PF},
@@ -106,18 +107,35 @@ def _wdl(spark, d):
 @register("m18_monte_carlo_resim", f"""WITH {M},
 w AS (SELECT game, count(*) FILTER (WHERE outcome = 1) AS wins, count(*) FILTER (WHERE outcome = 0) AS draws,
              count(*) FILTER (WHERE outcome = -1) AS losses, avg(outcome) AS actual_mean FROM m GROUP BY game),
-t AS (SELECT game, wins, draws, losses, {sql_uniform(19, "concat_ws('|', CAST(game AS VARCHAR), CAST(trial AS VARCHAR))")} AS u
-      FROM w, (SELECT unnest(range(20)) AS trial)),
+t AS (SELECT game, wins, draws, losses, {sql_uniform(19, "row_id")} AS u FROM m JOIN w USING (game)),
 s AS (SELECT game, avg(CASE WHEN u < losses / (wins + draws + losses) THEN -1
                           WHEN u < (losses + draws) / (wins + draws + losses) THEN 0 ELSE 1 END) AS sim_mean FROM t GROUP BY game)
 SELECT game, round(actual_mean, 6) AS actual_mean, round(sim_mean, 6) AS sim_mean FROM w JOIN s USING (game)""")
 def m18(spark, d):
+    """Each game is played again as often as it was played, from its own shares of outcomes."""
     w = _wdl(spark, d)
-    s = K.resimulate(w, "game", "wins", "draws", "losses", 20, 19)
+    s = K.resimulate(matches(spark, d), w, "game", "row_id", "wins", "draws", "losses", 19)
     return w.join(s, "game").select("game", F.round("actual_mean", 6).alias("actual_mean"),
                                     F.round("sim_mean", 6).alias("sim_mean"))
 
 
+@register("m18_resim_report", f"""WITH {M},
+w AS (SELECT game, count(*) FILTER (WHERE outcome = 1) AS wins, count(*) FILTER (WHERE outcome = 0) AS draws,
+             count(*) FILTER (WHERE outcome = -1) AS losses, avg(outcome) AS actual_mean FROM m GROUP BY game),
+t AS (SELECT game, wins, draws, losses, {sql_uniform(19, "row_id")} AS u FROM m JOIN w USING (game)),
+s AS (SELECT game, avg(CASE WHEN u < losses / (wins + draws + losses) THEN -1
+                          WHEN u < (losses + draws) / (wins + draws + losses) THEN 0 ELSE 1 END) AS sim_mean FROM t GROUP BY game)
+SELECT count(*) AS n, round(corr(actual_mean, sim_mean), 6) AS correlation,
+       round(sqrt(avg(power(actual_mean - sim_mean, 2))), 6) AS rmse FROM w JOIN s USING (game)""")
+def m18_report(spark, d):
+    """How far replayed means stay from the measured ones: the noise floor of a mean outcome."""
+    w = _wdl(spark, d)
+    s = K.resimulate(matches(spark, d), w, "game", "row_id", "wins", "draws", "losses", 19)
+    diff = F.col("actual_mean") - F.col("sim_mean")
+    return w.join(s, "game").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("actual_mean", "sim_mean"), 6).alias("correlation"),
+                                 F.round(F.sqrt(F.avg(diff * diff)), 6).alias("rmse"))
+
+
 @register("m19_pseudo_label", f"""WITH {P}
 SELECT row_id, round(y * (1.0 - w) + ((p1 + p2 + p3) / 3.0) * w, 6) AS y_new FROM
   (SELECT *, CASE WHEN run <= 3 THEN 0.3 ELSE 0.6 END AS w FROM p)""")
@@ -179,15 +197,13 @@ def m28(spark, d):
     from pyspark.sql import Window
     m = matches(spark, d)
     folds = group_fold_table(m, "game", 4, 23)
-    t = two_sided(m, "game", "agent1", "agent2", "utility", extra=["row_id"])
-    rows = component_rows(t, "game", "agent", extra=["row_id", "side", "v"]).join(folds, "game")
+    t = two_sided(m, "game", "agent1", "agent2", "utility")
+    rows = component_rows(t, "game", "agent", extra=["v"]).join(folds, "game")
     cs = rows.groupBy("fold", "component", "option").agg(F.sum("v").alias("sv"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("component", "option")
     tr = cs.select("fold", "component", "option",
                    ((F.sum("sv").over(w) - F.col("sv")) / (F.sum("n").over(w) - F.col("n"))).alias("score"))
-    j = rows.join(F.broadcast(tr), ["fold", "component", "option"], "left")  # folds × options rows
-    r = j.groupBy("row_id").agg((F.avg(F.when(F.col("side") == 1, F.col("score")))
-                                 - F.avg(F.when(F.col("side") == 2, F.col("score")))).alias("delta"))
+    r = packed_field_lookup(m, "row_id", "game", "agent1", "agent2", folds.join(tr, "fold"), "score")
     return r.select("row_id", F.round(F.col("delta") + 1e-10, 6).alias("delta"))
 
 

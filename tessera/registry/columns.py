@@ -2,10 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tessera.functions.hashing import hkey
 from tessera.operators import columns as C
 from tessera.operators.reshape import split_packed
-from tessera.plans.fixtures import MATCHES_SQL, PREDICTIONS_SQL, matches, predictions
+from tessera.plans.fixtures import MATCHES_SQL, PREDICTIONS_SQL, matches, predictions, row_key
 from tessera.registry import register
 from tessera.registry.scans import s9
 from tessera.sources.tables import table
@@ -73,6 +72,12 @@ def p6(spark, d):
     return C.distinct_counts(table(spark, d, "lineitem").select(*_LI_COLS))
 
 
+@register("p6_constant_columns", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) > 1 AS keep FROM lineitem" for c in _LI_COLS))
+def p6_keep(spark, d):
+    return C.varying_columns(table(spark, d, "lineitem").select(*_LI_COLS))
+
+
 _SUBS = ["the", "le", "and", "(", "en"]
 
 
@@ -100,7 +105,7 @@ FEATURES = {
 
 
 @register("p8_engineered_features", f"""
-SELECT {"concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR))"} AS row_id,
+SELECT {"concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(CAST(l_quantity AS BIGINT) AS VARCHAR))"} AS row_id,
   l_quantity * l_discount AS qty_x_disc, CAST(l_tax = l_discount AS TINYINT) AS tax_eq_disc,
   l_extendedprice / (l_quantity + 1e-15) AS price_per_qty, l_tax / (l_discount + 1e-15) AS tax_per_disc,
   l_discount / (l_tax + 1e-15) AS disc_per_tax, l_tax + l_discount AS tax_plus_disc,
@@ -109,7 +114,7 @@ SELECT {"concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHA
 FROM lineitem""")
 def p8(spark, d):
     li = table(spark, d, "lineitem").withColumn(
-        "row_id", hkey("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+        "row_id", row_key())
     return C.add_features(li, FEATURES, sorted(FEATURES)).select("row_id", *[v[0] for v in FEATURES.values()])
 
 
@@ -192,7 +197,7 @@ def p16(spark, d):
 WITH r AS (SELECT o_custkey AS c_custkey,
              CASE o_orderstatus WHEN 'F' THEN '1.0;-1.0' WHEN 'O' THEN '0.0;0.0' ELSE '-1.0;1.0' END AS utilities,
              row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn
-           FROM orders WHERE o_orderpriority = '1-URGENT')
+           FROM orders)
 SELECT c.c_custkey, CAST(string_split(coalesce(r.utilities, '0;0'), ';')[1] AS DOUBLE) AS utility
 FROM customer c LEFT JOIN (SELECT * FROM r WHERE rn = 1) r USING (c_custkey)""")
 def p17(spark, d):
@@ -238,7 +243,7 @@ _PACKED_ARRAY = ("concat('[ ', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), ' ',
 @register("p24_string_array_parse", f"""
 SELECT row_id, CAST(a[1] AS DOUBLE) AS e0, CAST(a[2] AS DOUBLE) AS e1, CAST(a[3] AS DOUBLE) AS e2,
        CAST(len(a) AS BIGINT) AS n FROM (
-  SELECT concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS row_id,
+  SELECT concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)) AS row_id,
          regexp_split_to_array(trim(regexp_replace({_PACKED_ARRAY}, '[\\[\\]]', '', 'g')), '\\s+') AS a
   FROM lineitem)""")
 def p24(spark, d):
@@ -246,7 +251,7 @@ def p24(spark, d):
     s = F.concat(F.lit("[ "), F.col("l_quantity").cast("bigint").cast("string"), F.lit(" "),
                  (-F.col("l_linenumber")).cast("string"), F.lit("  "), F.col("l_suppkey").cast("string"), F.lit("]"))
     a = C.parse_array_string(s)
-    x = li.select(hkey("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"), a.alias("a"))
+    x = li.select(row_key().alias("row_id"), a.alias("a"))
     return x.select("row_id", *[F.col("a")[i].alias(f"e{i}") for i in range(3)],
                     F.size("a").cast("bigint").alias("n"))
 

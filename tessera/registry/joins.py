@@ -2,17 +2,16 @@
 
 from pyspark.sql import functions as F
 
-from tessera.functions.hashing import hkey
 from tessera.operators import joins as J
 from tessera.operators import reshape as R
 from tessera.plans import reconcile as rc
-from tessera.plans.fixtures import COMPONENTS, MATCHES_SQL, PREDICTIONS_SQL, matches, predictions
+from tessera.plans.fixtures import COMPONENTS, MATCHES_SQL, PREDICTIONS_SQL, matches, predictions, row_key
 from tessera.registry import register
 from tessera.registry.flagship import _PAIRS_SQL, _pairs
 from tessera.sources.tables import table
 
 _ROWID = ("concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), "
-          "CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR))")
+          "CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(CAST(l_quantity AS BIGINT) AS VARCHAR))")
 
 
 @register("j1_strict_lookup_report", """
@@ -47,7 +46,7 @@ def j3(spark, d):
 SELECT {_ROWID} AS row_id, CASE WHEN l_partkey IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO')
   THEN CAST(0.25 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS sample_weight FROM lineitem""")
 def j4(spark, d):
-    li = table(spark, d, "lineitem").withColumn("row_id", hkey("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    li = table(spark, d, "lineitem").withColumn("row_id", row_key())
     promo = table(spark, d, "part").where(F.col("p_type") == "PROMO")
     return J.membership_weight(li, "l_partkey", promo, "p_partkey", 0.25).select("row_id", "sample_weight")
 
@@ -59,7 +58,7 @@ def j5(spark, d):
     li = table(spark, d, "lineitem")
     done = table(spark, d, "orders").where(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("l_orderkey"))
     return li.join(done, "l_orderkey", "left_anti").select(
-        hkey("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"))
+        row_key().alias("row_id"))
 
 
 _J6_DIM = "SELECT sha256(text) AS h, doc_id AS match_id FROM documents"
@@ -127,7 +126,7 @@ WITH f AS (SELECT p_name, p_retailprice AS ref_price FROM
 SELECT {_ROWID} AS row_id, f.ref_price FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
 LEFT JOIN f ON p.p_name = f.p_name""")
 def j11(spark, d):
-    li = table(spark, d, "lineitem").withColumn("row_id", hkey("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    li = table(spark, d, "lineitem").withColumn("row_id", row_key())
     part = table(spark, d, "part")
     named = li.join(part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
     dim = part.select("p_name", "p_partkey", F.col("p_retailprice").alias("ref_price"))
@@ -170,7 +169,7 @@ def u3(spark, d):
 SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_linenumber = 7""")
 def u4(spark, d):
     li = table(spark, d, "lineitem").where("l_linenumber = 7").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, d, "part").select("p_partkey").exceptAll(li).distinct()
+    return table(spark, d, "part").select("p_partkey").subtract(li)
 
 
 _U5_SQL = f"""

@@ -135,7 +135,7 @@ def _fold_train_corr(spark, d):
     """|corr(feature, y)| on each fold's training rows, from per-fold
     sufficient statistics (train = total − own fold): no row replication."""
     from pyspark.sql import Window
-    m = W.row_folds(matches(spark, d), "row_id", 5, 4)
+    m = W.group_kfold(matches(spark, d), "game", 5, 4)
     long = m.unpivot(["fold", "utility"], _IMP_FEATS, "feature", "x").withColumn("x", F.col("x").cast("double"))
     y = F.col("utility")
     s = long.groupBy("fold", "feature").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"),
@@ -151,7 +151,7 @@ def _fold_train_corr(spark, d):
 
 
 @register("w11_topk_importance", f"""WITH {M},
-f AS (SELECT *, {sql_hash_int(4, 'row_id')} % 5 AS fold FROM m),
+f AS (SELECT m.*, k.fold FROM m JOIN ({FOLD_SQL(5, 4, 'game', 'm')}) k USING (game)),
 t AS (SELECT f.fold AS fold, """ + ", ".join(
     f"abs(corr(CAST(g.{c} AS DOUBLE), g.utility)) AS {c}" for c in _IMP_FEATS) + """
       FROM (SELECT DISTINCT fold FROM f) f JOIN f g ON g.fold <> f.fold GROUP BY f.fold),

@@ -2,10 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tessera.functions.hashing import hkey
 from tessera.operators import reshape as R
 from tessera.operators.ratings import component_scores, packed_field_lookup
-from tessera.plans.fixtures import COMPONENTS, MATCHES_SQL, matches
+from tessera.plans.fixtures import COMPONENTS, MATCHES_SQL, matches, row_key
 from tessera.registry import register
 from tessera.sources.tables import table
 
@@ -44,10 +43,10 @@ def n5(spark, d):
 
 @register("n2_unpivot", """
 SELECT row_id, feature, value FROM (SELECT concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
-  CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS row_id, l_quantity, l_extendedprice, l_discount, l_tax
+  CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)) AS row_id, l_quantity, l_extendedprice, l_discount, l_tax
   FROM lineitem) UNPIVOT (value FOR feature IN (l_quantity, l_extendedprice, l_discount, l_tax))""")
 def n2(spark, d):
-    li = table(spark, d, "lineitem").select(hkey("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
+    li = table(spark, d, "lineitem").select(row_key().alias("row_id"),
                                            "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     return R.unpivot(li, ["row_id"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 

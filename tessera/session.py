@@ -69,9 +69,9 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A folder every executor can see, under the cluster's ``spark.checkpoint.dir``.
 
-    The cluster setting always wins.  Only when it is unset (local runs,
-    tests) a fresh scratch folder is created and registered, so that
-    ``DataFrame.checkpoint()`` works.
+    The cluster setting always wins.  Where it is unset, a local run gets a
+    fresh scratch folder, so that ``DataFrame.checkpoint()`` works; on a
+    cluster that would be a folder only the driver sees, so it is an error.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None)
@@ -81,6 +81,8 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
         except Exception:  # noqa: BLE001 - unset conf raises
             root = None
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", root)
     if sc.getCheckpointDir() is None:

@@ -30,13 +30,14 @@ def write_keyed(df: DataFrame, key: str, path: str, buckets: int = 64) -> str:
     """K3 — "one file per key" re-aimed: a keyed table in ``buckets`` hash
     partitions (a key's rows land in one folder; files stay few and large)."""
     (df.withColumn("bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)))
-       .repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path))
+       .hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path))
     return path
 
 
 def write_per_worker(df: DataFrame, worker: str, path: str) -> str:
-    """K4 — per-worker task files (JSON lines), one folder per worker."""
-    df.repartition(worker).write.mode("overwrite").partitionBy(worker).json(path)
+    """K4 — per-worker task files (JSON lines), one folder per worker; a
+    worker with many tasks is split over several writers."""
+    df.hint("rebalance", worker).write.mode("overwrite").partitionBy(worker).json(path)
     return path
 
 

@@ -163,10 +163,14 @@ def _elo_brute(sched: pd.DataFrame) -> dict:
 
 def test_elo_batch_matches_brute_force_and_stream(spark):
     from tessera.operators.ratings import COMPONENT_NAMES
-    from tessera.registry.ratings import elo_schedule
-    sched = elo_schedule(spark, SMALL).toPandas()
-    brute = _elo_brute(sched)
-    batch = Q["m35_elo_ratings"](spark, SMALL).toPandas()
+    from tessera.operators.ratings import elo_ratings
+    from tessera.registry.ratings import STREAM_DRAWS, elo_schedule, m35
+    sched = elo_schedule(spark, SMALL)
+    batch = m35(spark, SMALL, n_draws=STREAM_DRAWS).toPandas()
+    rows = elo_ratings(sched).toPandas().merge(batch, on=["game", "component", "option"], suffixes=("", "_b"))
+    assert len(rows) == len(batch)
+    assert (rows[["elo", "match_count", "agent_count"]].to_numpy() == rows[["elo_b", "match_count_b", "agent_count_b"]].to_numpy()).all()
+    brute = _elo_brute(sched.toPandas())
     comp_idx = {c: i for i, c in enumerate(COMPONENT_NAMES)}
     for r in batch.itertuples():
         want = brute.get((r.game, comp_idx[r.component], r.option), 1000.0)  # unseen options keep 1000
@@ -183,6 +187,11 @@ def test_elo_batch_matches_brute_force_and_stream(spark):
     assert (m["match_count"] == m["match_count_s"]).all()
 
 
+def test_elo_plays_all_draws(spark):
+    full = Q["m35_elo_ratings"](spark, SMALL).groupBy("game", "component").agg(F.sum("match_count").alias("n"))
+    assert {r.n for r in full.collect()} == {20_000}  # two sides a draw
+
+
 def test_stream_elites_equal_batch(spark):
     a = Q["r2_stream_running_elites"](spark, SMALL).toPandas().sort_values(["cell_x", "cell_y"])
     b = Q["w9_grid_elites"](spark, SMALL).toPandas().sort_values(["cell_x", "cell_y"])
