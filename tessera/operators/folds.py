@@ -56,8 +56,9 @@ def balanced_group_folds(df: DataFrame, group: str, n_folds: int, out: str = "fo
     """W4 — unshuffled size-balanced group folds.
 
     Groups ordered by (size desc, group) are dealt in a serpentine
-    (0..n-1, n-1..0, …), which keeps fold sizes within one group of each
-    other and is set-based (the greedy LPT assignment is sequential).
+    (0..n-1, n-1..0, …), which keeps fold sizes within two of the largest
+    groups of each other and is set-based (the greedy LPT assignment is
+    sequential).
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size")).withColumn("_neg", -F.col("_size"))
     ranked = global_prefix_sum(sizes, ["_neg", group], out="_pos")
@@ -108,7 +109,7 @@ def categorical_draw(options: Sequence[str] | Column, seed, *key_cols) -> Column
 
 
 def weighted_bucket(tasks: DataFrame, task_key: str, workers: DataFrame, worker: str,
-                    weight: str, seed, scale: int = 1_000_000, buckets: int = 1024,
+                    weight: str, seed, scale: int = 1_000_000, buckets: int | None = None,
                     out: str = "worker") -> DataFrame:
     """T4 — assign each task to a worker with probability ∝ weight.
 
@@ -122,7 +123,8 @@ def weighted_bucket(tasks: DataFrame, task_key: str, workers: DataFrame, worker:
     w = workers.select(F.col(worker).alias("_w"),
                        F.round(F.col(weight) * scale).cast("bigint").alias("_wi")).where("_wi > 0")
     cum = global_prefix_sum(w, ["_w"], weight="_wi", out="_hi", exclusive="_lo")
-    total = cum.agg(F.max("_hi")).first()[0]  # one scalar
+    total, n = cum.agg(F.max("_hi"), F.count(F.lit(1))).first()  # two scalars
+    buckets = buckets or max(1024, n)  # about a worker a cell, so a cell's tasks meet few workers
     cell = lambda v: (v.cast("decimal(38,0)") * buckets / F.lit(total)).cast("bigint")
     grid = cum.select("_w", "_lo", "_hi",
                       F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi") - 1))).alias("_cell"))
