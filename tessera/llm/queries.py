@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, html, mixing, ordermh, quality, secrets, sharding, simhash, suffixdedup, toxicity
-from tessera.llm.common import held_out, read, text_of
+from tessera.llm.common import ASCII_LOW, ASCII_UP, held_out, read, text_of
 
 QUERIES: dict = {}
 
@@ -87,7 +87,24 @@ def op6_html(spark, sf_dir):
     return html.extract(pages.select("page_id", "url", "html"), html.fit(pages)).drop("html")
 
 
-@query("op4_decontam")
+_WORDS4 = (f"regexp_extract_all(translate(coalesce(text, ''), '{ASCII_UP}', '{ASCII_LOW}'), "
+           "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+_OP4_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS4} AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS4} AS w FROM benchmark),
+b AS (SELECT DISTINCT item, least(len(w), {decontam.WINDOW}) AS m, w[s + 1 : s + least(len(w), {decontam.WINDOW})] AS g
+      FROM i, unnest(range(len(w) - least(len(w), {decontam.WINDOW}) + 1)) t(s) WHERE len(w) > 0),
+x AS (SELECT doc_id, s, m, w[s + 1 : s + m] AS g FROM d, (SELECT DISTINCT m FROM b), unnest(range(len(w) - m + 1)) t(s)),
+h AS (SELECT doc_id, s, x.m, item FROM x JOIN b ON x.m = b.m AND x.g = b.g),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(range(s, s + m)) t(p) GROUP BY doc_id),
+j AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN j USING (doc_id)"""
+
+
+@query("op4_decontam", _OP4_SQL)
 def op4_decontam(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.contamination(docs, read(spark, sf_dir, "benchmark"))
