@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.hashing import uniform
 from tessera.operators.ordered import average_rank, global_prefix_sum
+from tessera.sources.sinks import stored
 
 FIT_THREADS = 4
 
@@ -133,6 +134,8 @@ def grouped_cv(df: DataFrame, make_estimator, features: Sequence[str], label: st
     for _, p in results[1:]:
         oof = oof.unionByName(p)
     models = [m for m, _ in results]
+    oof = stored(oof, "oof")
+    x.unpersist()
     return (oof, models) if keep_models else oof
 
 
@@ -156,6 +159,8 @@ def isotonic_cv(df: DataFrame, pred: str, label: str, fold: str, n_folds: int, r
     out_df = parts[0]
     for p in parts[1:]:
         out_df = out_df.unionByName(p)
+    out_df = stored(out_df, "isotonic")
+    x.unpersist()
     return out_df
 
 

@@ -9,6 +9,7 @@ from tessera.operators.folds import group_kfold
 from tessera.functions.hashing import sql_hash_int
 from tessera.plans.fixtures import PREDICTIONS_SQL, matches, predictions
 from tessera.registry import register
+from tessera.sources.sinks import stored
 from tessera.session import fresh_path
 from tessera.sources.tables import table
 
@@ -122,6 +123,7 @@ def m10(spark, d):
     cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol="y"),
                         foldCol="fold", numFolds=5, parallelism=3)
     best = cv.fit(a).bestModel
+    a.unpersist()
     rows = [("intercept", float(best.intercept))] + [(f, float(c)) for f, c in zip(feats, best.coefficients)]
     return spark.createDataFrame(rows, "feature string, coef double")
 
@@ -228,6 +230,8 @@ def m29(spark, d):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    out = stored(out, "classes")
+    x.unpersist()
     return out.select("row_id", "cls", F.col("p")[0].alias("p_loss"), F.col("p")[1].alias("p_draw"),
                       F.col("p")[2].alias("p_win"),
                       (-F.log(F.element_at("p", (F.col("cls") + 1).cast("int")))).alias("log_loss"))
@@ -255,6 +259,8 @@ def m30(spark, d):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    out = stored(out, "hybrid")
+    x.unpersist()
     return out
 
 
@@ -293,6 +299,7 @@ def m34(spark, d):
               for _ in range(6)]
     cv = CrossValidator(estimator=lr, estimatorParamMaps=trials, evaluator=RegressionEvaluator(labelCol="utility"),
                         foldCol="fold", numFolds=5, parallelism=3).fit(x)
+    x.unpersist()
     rows = [(i, t[lr.regParam], t[lr.elasticNetParam], float(s)) for i, (t, s) in enumerate(zip(trials, cv.avgMetrics))]
     return spark.createDataFrame(rows, "trial int, reg_param double, elastic_net double, cv_rmse double")
 

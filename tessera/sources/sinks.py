@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import fresh_path
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: Sequence[str] = ()) -> str:
@@ -20,6 +22,13 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     return path
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder: computed once, so that what it was made from can be released."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_keymap_json(df: DataFrame, key: str, value: str, path: str) -> str:
     """K2 — key→value map as JSON lines ``{"key":…, "value":…}``."""
     df.select(F.col(key).alias("key"), F.col(value).alias("value")).write.mode("overwrite").json(path)
