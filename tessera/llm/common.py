@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +27,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame, spark: SparkSession | None = None) -> None:
+    """Deletes tables that ``written`` has made and nothing needs any more, and lets Spark drop the
+    shuffle files of finished jobs: it does so when the driver's JVM collects its garbage."""
+    spark = spark or tables[0].sparkSession
+    for t in tables:
+        for f in {x.rsplit("/", 1)[0] for x in t.inputFiles()[:1]}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def bind(value: Column, body) -> Column:
     """``body(value)`` with value evaluated once, also where body uses it inside lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
 def text_of(col) -> Column:

@@ -6,21 +6,22 @@ that occur more than once; each byte under such a string is removed.  The sort
 goes by passes from the most significant digit, and a group is done as soon as
 it is settled:
 
-1. The first digit of a suffix is the least of its 200-byte strings (by hash,
-   the last of equals) within the length, wherever it lies: equal suffixes
-   have equal ones at the same distance.  Neighbouring suffixes share it, so a
+1. The first digit of a suffix is the least (by hash, the last of equals) of
+   the strings of ``digit_length`` bytes within its first ``length``, wherever
+   it lies: equal suffixes have equal ones at the same distance.  Neighbouring suffixes share it, so a
    run of them is one row (first and last start, digit, hash of all the bytes
    that the run's strings cover).  Digits met once are settled: unique.
 2. Within a digit, runs with equal bytes have all their strings in common:
    they are settled as repeated, and one of them stands for all.
 3. Where a digit has runs with different bytes, the suffixes of one run of
-   each kind are told apart by the rest: (digit, distance, hash of the whole
-   string).  Groups of more than one are repeated.
+   each kind are told apart by the rest: (digit, hash of the whole string).
+   Groups of more than one are repeated.
 
 Rows are counted with pre-aggregation and joined back, so a string that
 occurs everywhere is never gathered in one task.  Texts move twice, keyed by
 their hash, to the runs that concern them.  Hashes are 64 bits each and are
-compared only together with the digit (128 bits in all).  A text is read in
+compared only together with the digit (128 bits in all).  Passes leave their
+result as a table in the shared folder, and what they needed is deleted.  A text is read in
 stretches of ``STRETCH`` bytes that overlap by one string, so that memory does
 not grow with its length.
 
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import P, text_of, written
+from tessera.llm.common import P, discard, text_of, written
 
 LENGTH = 400
 STRETCH = 1 << 21
@@ -99,9 +100,14 @@ def _least_ahead(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(tail[:m], head[w - 1:w - 1 + m])
 
 
+def digit_length(length: int) -> int:
+    """Longer digits settle more runs at once, but make shorter runs."""
+    return max(1, length * 13 // 20)
+
+
 def runs_of(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(first start, last start, place of the digit, digit, hash of the bytes covered) of each run of suffixes."""
-    k = length // 2
+    """(first start, last start, digit, hash of the bytes covered) of each run of suffixes."""
+    k = digit_length(length)
     parts = []
     for lo in range(0, max(1, len(data) - length + 1), STRETCH):
         piece = data[lo:lo + STRETCH + length - 1]
@@ -115,56 +121,67 @@ def runs_of(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         at = (1 << 22) - 1 - (least & np.uint64((1 << 22) - 1)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         last = np.r_[first[1:], len(at)] - 1
-        parts.append((first + lo, last + lo, at[first] + lo, digit[at[first]], roll.of(first, last + length)))
-    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        parts.append((first + lo, last + lo, digit[at[first]], roll.of(first, last + length)))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
 
 
 def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def _frames(rows: Iterator[dict], size: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """Gathers column chunks into batches of about ``size`` rows."""
-    held, n = [], 0
-    for r in rows:
-        held.append(r)
-        n += len(r)
-        if n >= size:
-            yield pa.RecordBatch.from_pandas(pd.concat(held, ignore_index=True), preserve_index=False)
-            held, n = [], 0
+def _batches(chunks: Iterator[tuple], names: tuple, kinds: tuple, size: int = 250_000) -> Iterator[pa.RecordBatch]:
+    """Chunks hold an array for each name, or a number that holds for the chunk; gathers them into batches."""
+    held: list[tuple] = []
+    rows = 0
+
+    def batch():
+        count = [next(len(x) for x in c if isinstance(x, np.ndarray)) for c in held]
+        columns = []
+        for i, kind in enumerate(kinds):
+            if isinstance(held[0][i], np.ndarray):
+                columns.append(np.concatenate([c[i] for c in held]).astype(kind, copy=False))
+            else:
+                columns.append(np.repeat(np.array([c[i] for c in held], kind), count))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(names))
+
+    for c in chunks:
+        held.append(c)
+        rows += next(len(x) for x in c if isinstance(x, np.ndarray))
+        if rows >= size:
+            yield batch()
+            held, rows = [], 0
     if held:
-        yield pa.RecordBatch.from_pandas(pd.concat(held, ignore_index=True), preserve_index=False)
+        yield batch()
 
 
 def _all_runs(length: int):
     def run(batches):
         def chunks():
             for b in batches:
-                for a, x, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                for ka, kb, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                     data = _bytes(text)
                     if len(data) >= length:
-                        first, last, at, digit, body = runs_of(data, length)
-                        yield pd.DataFrame({"ka": np.int64(a), "kb": np.int64(x), "first": first.astype(np.int32), "last": last.astype(np.int32),
-                                            "at": at.astype(np.int32), "digit": digit.view(np.int64), "body": body.view(np.int64)})
-        yield from _frames(chunks())
+                        first, last, digit, body = runs_of(data, length)
+                        yield ka, kb, first, last, digit.view(np.int64), body.view(np.int64)
+        yield from _batches(chunks(), ("ka", "kb", "first", "last", "digit", "body"), ("i8", "i8", "i4", "i4", "i8", "i8"))
     return run
 
 
 def _told_apart(length: int):
-    """For the runs listed with a text: each suffix by digit, distance and hash of its string."""
+    """For the runs listed with a text: each suffix by run, digit and hash of its string."""
     def run(batches):
         def chunks():
             for b in batches:
-                for a, x, text, listed in zip(*(b.column(i).to_pylist() for i in range(4))):
-                    data = _bytes(text)
-                    for r in listed:
-                        piece = data[r["first"]:r["last"] + length]
-                        start = np.arange(len(piece) - length + 1)
-                        roll = Rolling(piece, 1)
-                        yield pd.DataFrame({"ka": np.int64(a), "kb": np.int64(x), "start": (start + r["first"]).astype(np.int32), "digit": np.int64(r["digit"]),
-                                            "far": (r["at"] - r["first"] - start).astype(np.int32),
-                                            "body": roll.of(start, start + length).view(np.int64), "n": np.int64(r["n"])})
-        yield from _frames(chunks())
+                lists = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in b.columns[1:]]
+                for i, text in enumerate(b.column(0)):
+                    data = _bytes(text.as_py())
+                    rid, first, last, digit, many = (v[o[i]:o[i + 1]] for o, v in lists)
+                    for j in range(len(rid)):
+                        piece = data[first[j]:last[j] + length]
+                        n = len(piece) - length + 1
+                        body = Rolling(piece, 1).of(slice(0, n), slice(length, length + n))
+                        yield rid[j], np.arange(first[j], first[j] + n), digit[j], body.view(np.int64), many[j]
+        yield from _batches(chunks(), ("rid", "start", "digit", "body", "many"), ("i8", "i4", "i8", "i8", "?"))
     return run
 
 
@@ -183,10 +200,8 @@ def _cut(length: int):
 
     def one(text, runs, singles):
         data = _bytes(text)
-        runs = [] if runs is None else list(runs)
-        starts = [np.array([r["first"] for r in runs], np.int64), np.array([] if singles is None else singles, np.int64)]
-        ends = [np.array([r["last"] for r in runs], np.int64) + length, starts[1] + length]
-        spans = covered(len(data), np.concatenate(starts), np.concatenate(ends))
+        runs, singles = (np.zeros(0, np.int64) if x is None else np.asarray(x, np.int64) for x in (runs, singles))
+        spans = covered(len(data), np.r_[runs >> 32, singles], np.r_[runs & 0xFFFFFFFF, singles] + length)
         keep = hashlib.sha256()
         at = 0
         for s, e in spans:
@@ -213,23 +228,34 @@ def repeated(df: DataFrame, text_col: str, length: int) -> DataFrame:
     ka, kb = _keys(text_col)
     texts = df.select(ka.alias("ka"), kb.alias("kb"), text_of(text_col).alias("text"))
     runs = written(texts.filter(F.octet_length("text") >= length).mapInArrow(
-        _all_runs(length), "ka long, kb long, first int, last int, at int, digit long, body long"), "runs")
-    kinds = runs.groupBy("digit", "body").agg(F.count(F.lit(1)).alias("n"),
-                                              F.min(F.struct("ka", "kb", "first", "last", "at")).alias("one"))
-    kinds = written(kinds.join(kinds.groupBy(F.col("digit").alias("d")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"))
-                               .filter("all > 1"), F.col("digit") == F.col("d")).drop("d", "all"), "kinds")
-    settled = (runs.join(kinds.filter("n > 1").select("digit", "body"), ["digit", "body"], "left_semi")
-               .select("ka", "kb", "first", "last").distinct()
-               .groupBy("ka", "kb").agg(F.collect_list(F.struct("first", "last")).alias("runs")))
-    apart = (kinds.filter("kinds > 1").select("one.*", "digit", "n")
-             .groupBy("ka", "kb").agg(F.collect_list(F.struct("first", "last", "at", "digit", "n")).alias("listed")))
+        _all_runs(length), "ka long, kb long, first int, last int, digit long, body long"), "runs")
+    more = lambda t: t.groupBy("digit").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("digit")
+    many = written(more(runs), "many")  # tables of their own, so that a common digit's rows can be split in the joins
+    live = written(runs.join(many, "digit", "left_semi"), "live_runs")
+    discard(runs, many)
+    kinds = written(live.groupBy("digit", "body").agg(F.count(F.lit(1)).alias("n"),
+                                                      F.min(F.struct("ka", "kb", "first", "last")).alias("one")), "kinds")
+    settled = written(live.join(kinds.filter("n > 1").select("digit", "body"), ["digit", "body"], "left_semi")
+                      .groupBy("ka", "kb").agg(F.collect_set(F.shiftleft(F.col("first").cast("long"), 32) + F.col("last")).alias("runs")), "settled")
+    discard(live)
+    mixed = written(more(kinds), "mixed")
+    apart = written(kinds.join(mixed, "digit", "left_semi")
+                    .select(F.monotonically_increasing_id().alias("rid"), "one.*", "digit", (F.col("n") > 1).alias("many")), "apart")
+    discard(kinds, mixed)
+    parts = ("rid", "first", "last", "digit", "many")
+    listed = apart.groupBy("ka", "kb").agg(F.collect_list(F.struct(*parts)).alias("l"))
     one = texts.groupBy("ka", "kb").agg(F.first("text").alias("text"))  # of copies one will do
-    chosen = one.join(apart, ["ka", "kb"]).select("ka", "kb", "text", "listed")
+    chosen = one.join(listed, ["ka", "kb"]).select("text", *[F.col("l")[c].alias(c) for c in parts])
     strings = written(chosen.mapInArrow(
-        _told_apart(length), "ka long, kb long, start int, digit long, far int, body long, n long"), "strings")
-    twice = strings.groupBy("digit", "far", "body").agg(F.sum("n").alias("all")).filter("all > 1").drop("all")
-    singles = (strings.filter("n = 1").join(twice, ["digit", "far", "body"], "left_semi")
-               .select("ka", "kb", "start").groupBy("ka", "kb").agg(F.collect_list("start").alias("singles")))
+        _told_apart(length), "rid long, start int, digit long, body long, many boolean"), "strings")
+    discard(spark=df.sparkSession)
+    twice = written(strings.groupBy("digit", "body").agg(F.count(F.lit(1)).alias("c"), F.max("many").alias("m"))
+                    .filter("c > 1 or m").select("digit", "body"), "twice")
+    discard(spark=df.sparkSession)
+    singles = written(strings.filter("not many").join(twice, ["digit", "body"], "left_semi").select("rid", "start")
+                      .join(apart.select("rid", "ka", "kb"), "rid")
+                      .groupBy("ka", "kb").agg(F.collect_list("start").alias("singles")), "singles")
+    discard(strings, twice, apart)
     return settled.join(singles, ["ka", "kb"], "full_outer")
 
 
