@@ -30,14 +30,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the one with the least id.
-
-    Of rows that share that id too, the one with the least hash stays.
-    """
-    row = P + "row"
-    near = simhash.near_duplicates(docs.select("doc_id", "text", F.struct(*docs.columns).alias(row)), k=3, radius=3)
-    mine = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return mine.groupBy("component").agg(F.min_by(row, F.xxhash64(row)).alias(row)).select(f"{row}.*")
+    """One document of each group of linked fingerprints: the one with the least id."""
+    return simhash.representatives(docs, k=3, radius=3)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -238,6 +238,16 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select("u", F.col("v").alias("root"))
 
 
+def _classes(d: DataFrame, radius: int) -> DataFrame:
+    """(fp, component_id, component) for every fingerprint of d (fingerprint, __tx_id)."""
+    prints = d.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(P + "id").alias("least")).checkpoint()
+    comp = components(links(prints.select("fp"), prints.count(), radius))
+    rooted = prints.join(comp, prints.fp == comp.u, "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.select("fp", "root").join(least, "root").select("fp", "component_id", F.col("root").alias("component"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
                     radius: int = RADIUS, keep: list[str] | None = None) -> DataFrame:
     """The rows (with the columns of ``keep``, else all) with fingerprint (signed long), component_id and
@@ -245,14 +255,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cols = [c for c in (keep or df.columns) if c not in ("fingerprint", "component_id", "component")]
     d = written(add_fingerprints(df.select(*{*cols, id_col, text_col}), text_col, k).select(
         *cols, F.col(id_col).alias(P + "id"), "fingerprint"), "simhash")
-    prints = d.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(P + "id").alias("least")).checkpoint()
-    comp = components(links(prints.select("fp"), prints.count(), radius))
-    rooted = prints.join(comp, prints.fp == comp.u, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.select("fp", "root").join(least, "root").select("fp", "component_id", F.col("root").alias("component"))
+    known = _classes(d, radius)
     return d.join(known, d.fingerprint == known.fp).select(*cols, "fingerprint", "component_id", "component")
 
 
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
+                    radius: int = RADIUS) -> DataFrame:
+    """One row of each component: one with the least id; among texts that share it, the least by hash.
+
+    Classes are found on ids, hashes and fingerprints; whole rows move once, to the choice.
+    """
+    key = {P + "none": F.col(id_col).isNull(), P + "name": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
+           P + "a": F.xxhash64(F.col(text_col)), P + "b": F.xxhash64(F.lit(1), F.col(text_col))}
+    slim = add_fingerprints(df.select(F.col(id_col).alias(P + "id"), F.col(text_col).alias(P + "text"),
+                                      *[c.alias(n) for n, c in key.items()]), P + "text", k)
+    d = written(slim.drop(P + "text"), "simhash")
+    known = _classes(d, radius)
+    mine = d.join(known, d.fingerprint == known.fp).filter(F.col(P + "id").eqNullSafe(F.col("component_id")))
+    chosen = mine.groupBy("component").agg(F.min(F.struct(*key)).alias("one")).select("one.*")
+    rows = df.select(F.struct(*df.columns).alias(P + "row"), *[c.alias(n) for n, c in key.items()])
+    return rows.join(chosen, list(key), "left_semi").dropDuplicates(list(key)).select(P + "row.*")
+
+
 def hex_fingerprint(col: str = "fingerprint"):
     return F.lower(F.lpad(F.hex(F.col(col)), 16, "0"))
