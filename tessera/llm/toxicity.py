@@ -39,7 +39,7 @@ LEXICON = 600
 STEMS = (4, 5, 6)
 TREES, DEPTH, SEED = 20, 4, 7
 WORDS = re.compile(r"[^\W_]+")
-MASKED = re.compile(r"\b[^\W\d_]+[0-9@$*!|+]+[^\W\d_]+\b")
+MASK = re.compile(r"(?<=[^\W\d_])[0-9@$*!|+]+(?=[^\W\d_])")
 #: Second-person words of English, French, German and Spanish.
 SECOND_PERSON = frozenset(("you", "your", "yours", "yourself", "u", "tu", "toi", "ton", "te", "vous", "votre",
                            "du", "dich", "dir", "dein", "euch", "ihr", "tú", "ti", "usted", "ustedes", "vosotros"))
@@ -48,6 +48,22 @@ LEET = str.maketrans("013457@$!|", "oieastasii")
 FEATURES = ("density", "hits", "strongest", "beside_you", "capitals", "punctuation", "symbols", "masked", "unmasked", "length")
 
 
+def masked_words(text: str) -> list[str]:
+    """Words with masking signs between their letters: the letters around each sign."""
+    found, end = [], 0
+    for m in MASK.finditer(text):
+        a, b = m.span()
+        if a < end:  # within the word before
+            continue
+        while a and (text[a - 1].isalpha()):
+            a -= 1
+        while b < len(text) and (text[b].isalpha() or text[b] in "0123456789@$*!|+"):
+            b += 1
+        found.append(text[a:b])
+        end = b
+    return found
+
+
 def stems(word: str) -> list[str]:
     """The lexicon keys of a lower-case word: the word itself and its beginnings."""
     return ["=" + word, *(word[:n] for n in STEMS if len(word) >= n)]
@@ -64,24 +80,27 @@ class Scorer:
         if w is None:
             if len(self.known) > 500_000:
                 self.known.clear()
-            w = self.known[word] = max((self.lexicon.get(s, 0.0) for s in stems(word)), default=0.0)
+            get = self.lexicon.get  # the keys of ``stems``; a shorter word's beginnings are the word, and no key
+            w = self.known[word] = max(get("=" + word, 0.0), *[get(word[:n], 0.0) for n in STEMS])
         return w
 
     def features(self, text: str | None) -> list[float]:
         text = text or ""
-        words = WORDS.findall(text.lower())
         if not text:
             return [0.0] * len(FEATURES)
-        weights = list(map(self.weight, words))
+        cased = WORDS.findall(text)
+        words = "\n".join(cased).lower().split("\n")
+        known = self.known
+        weights = [known[w] if w in known else self.weight(w) for w in words]
         n, size = max(len(words), 1), len(text)
         where = [i for i, w in enumerate(weights) if w]
         you = sum(any(x in SECOND_PERSON for x in words[max(0, i - 5):i + 6]) for i in where)
         marks = max(0, size - sum(map(len, words)) - sum(map(text.count, " \n\t\r")))
         symbols = sum(map(text.count, "#$%&*|@"))
-        masked = MASKED.findall(text) if any(map(text.__contains__, "0134578@$*!|+")) else []
+        masked = masked_words(text)
         seen = sum(self.weight(m.lower().translate(LEET)) > 0 for m in masked)
         return [sum(weights) / n, math.log1p(len(where)), max(weights, default=0.0), you / n,
-                sum(w.isupper() for w in WORDS.findall(text)) / n, marks / size, symbols / size,
+                sum(map(str.isupper, cased)) / n, marks / size, symbols / size,
                 len(masked) / n, math.log1p(len(where) + seen), math.log1p(n)]
 
 
