@@ -19,7 +19,9 @@ stand alone where no page is marked up.
 
 Text: character references are decoded; white space in a block becomes one
 space and ends are trimmed; blocks are joined in page order by one newline.
-Scripts, styles, templates, comments and hidden elements have no text.
+Scripts, styles, templates, comments and hidden elements have no text; hidden
+are those with an attribute hidden, with aria-hidden of true, or with a style
+of display: none.  What stands outside of a body is in it all the same.
 Null and empty pages, and such without content, give the empty text; broken
 markup is read as far as it goes.  Repeated rows get equal texts, empty tables
 empty results; further columns go along, columns named like the result's
@@ -43,10 +45,12 @@ PAGES = 2_000
 WEIGHT = 3.0
 #: How HTML elements behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg select option button datalist object canvas math".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select option button datalist object canvas".split())
 RAW_TEXT = frozenset("script style textarea title noscript iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
-                   "span strike strong sub sup time tt u var wbr".split())
+                   "span strike strong sub sup time tt u var wbr "
+                   "math maction annotation annotation-xml menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom "
+                   "mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 "
                      "h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -57,14 +61,21 @@ OTHER = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header mast
                   "widget complementary notice cookie cookies consent gdpr alert ad ads advert adverts advertisement sponsor sponsored "
                   "promo promotion form search login signup subscribe newsletter comment comments reply replies discussion disqus "
                   "respond reader share sharing social related recommended popular pagination pager toolbar popup modal overlay "
-                  "contentinfo tags meta byline skip hidden".split())
+                  "contentinfo tags meta byline skip".split())
 MAIN = frozenset("article main content post story entry articlebody body text prose".split())
 ARTICLE = frozenset(("article", "main"))
 CUE = re.compile(r"[a-z]+")
 WITH = re.compile(r"(?:with|has|no)[-_][a-z]+")  # a page with a sidebar is not one
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                  r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+MAY_HIDE = re.compile("hidden|style", re.I)
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+
+
+def named(attributes: str) -> list[tuple[str, str]]:
+    """The names, in lower case, and values of a tag's attributes; a bare one has the empty value."""
+    return [(name.lower(), a or b or c) for name, a, b, c in ATTRIBUTE.findall(attributes)]
 
 
 class Node:
@@ -73,9 +84,9 @@ class Node:
     def __init__(self, tag: str, parent: "Node | None", attributes: str = ""):
         cues: set[str] = set()
         if attributes:
-            for name, a, b, c, _ in ATTRIBUTE.findall(attributes):
-                if name.lower() in ("class", "id", "role", "itemprop"):
-                    cues.update(CUE.findall(WITH.sub("", (a or b or c).lower())))
+            for name, value in named(attributes):
+                if name in ("class", "id", "role", "itemprop"):
+                    cues.update(CUE.findall(WITH.sub("", value.lower())))
         self.tag, self.parent, self.kids = tag, parent, []
         self.other = tag in OTHER or (tag != "body" and not OTHER.isdisjoint(cues))
         self.marked = tag in ARTICLE or "articlebody" in cues
@@ -85,25 +96,54 @@ class Node:
         self.depth = parent.depth + 1 if parent else 0
 
 
+def _unshown(style: str) -> bool:
+    """Whether the declaration of display that holds (an important one, else the last) is none."""
+    held = ("", False)
+    for part in COMMENT.sub("", entities.unescape(style)).lower().split(";"):
+        name, _, value = part.partition(":")
+        value, mark, rest = value.partition("!")
+        important = bool(mark) and rest.strip() == "important"
+        if name.strip() == "display" and important >= held[1]:
+            held = (value.strip(), important)
+    return held[0] == "none"
+
+
 def _hidden(attributes: str) -> bool:
-    return bool(re.search(r"\bhidden\b(?!-)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", attributes, re.I))
+    """By an attribute hidden, aria-hidden that is true, or a style of display: none; of one name the first counts."""
+    if not MAY_HIDE.search(attributes):
+        return False
+    of: dict[str, str] = {}
+    for name, value in named(attributes):
+        of.setdefault(name, value)
+    return "hidden" in of or of.get("aria-hidden", "").strip().lower() == "true" or _unshown(of.get("style", ""))
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """The elements in page order (a parent before its children), and the blocks of text with their element."""
     root = Node("html", None)
     nodes, at = [root], root
+    body: Node | None = None
     blocks: list[tuple[Node, str]] = []
     parts: list[str] = []
     links = 0  # depth of open <a>
     skip, skipped = "", 0
     pos, end = 0, len(page)
 
+    def home(attributes: str = "") -> Node:
+        """The body, which pages may leave out or close too early."""
+        nonlocal body
+        if body is None:
+            root.kids.append(body := Node("body", root, attributes))
+            nodes.append(body)
+        return body
+
     def flush():
+        nonlocal at
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
+                at = home() if at is root else at
                 blocks.append((at, text))
                 at.own += len(text)
                 at.stops += sum(map(text.count, ".!?…。"))
@@ -160,6 +200,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             continue
         if tag in ("html", "head", "hr") or tag in VOID:
             continue
+        if tag == "body" or at is root:
+            new = body is None
+            at = home(rest if tag == "body" else "") if new or at is root else at
+            if tag == "body":
+                links = 0 if new else links
+                continue
         shut = ITEMS.get(tag, ())
         x = at
         if tag in CLOSES_P and at.tag == "p":

@@ -201,6 +201,31 @@ def test_html_marginals_are_exact():
         assert abs(x.marginal - one / total) < 1e-9
 
 
+def test_html_drops_only_what_is_hidden():
+    read = html.Model({}, 0).extract
+    body = "One sentence stands here. Another one follows it, longer than the first."
+    around = lambda how, tag="div": f"<body><article><{tag} {how}><p>{body}</p></{tag}><p>The end of it. Really.</p></article></body>"
+    shown = ("style='overflow:hidden'", "class=overflow-hidden", 'aria-hidden="false"', "data-href=/hidden/x", 'title="A hidden gem"', "class='hidden-xs'",
+             "style='display:none;display:block'", "title='display:none'", "data-hidden=1", "style='--x-display:none'")
+    for how in shown:
+        assert read(around(how)) == body + "\nThe end of it. Really.", how
+    for how in ("hidden", "HIDDEN=''", 'aria-hidden="true"', "aria-hidden=true", "style='color:red; DISPLAY : none'", "style='display:none!important;display:block'"):
+        assert read(around(how)) == "The end of it. Really.", how
+    link = '<article><p>See <a href="/hidden/x" title="A hidden gem">this page</a> for more. It is good.</p></article>'
+    assert read(link) == "See this page for more. It is good."
+    formula = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold here. It is so.</p></article>"
+    assert read(formula) == "Let x=1 hold here. It is so."
+
+
+def test_html_text_without_a_body():
+    read = html.Model({}, 0).extract
+    text = " ".join(f"Sentence number {i} of a page that has no body tag." for i in range(20))
+    assert read(text) == read(f"<html><body>{text}</body></html>") == text
+    assert read(f"<html><head><title>T</title></head>{text}<br>More of it. And more.") == text + " More of it. And more."
+    nodes, blocks = html.parse("<body><p>One.</p></body>Two.")
+    assert [(n.tag, t) for n, t in blocks] == [("p", "One."), ("body", "Two.")] and [n.tag for n in nodes] == ["html", "body", "p"]
+
+
 def test_html_pages(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     for r in QUERIES["op6_html"][0](spark, SMALL).join(pages, ["page_id", "url"]).collect():
