@@ -2,7 +2,7 @@
 
 Base spans (assign, access, hex) are found by their patterns in whole texts.
 Two weaker kinds are kept only as parts of a credential: a ``secret`` candidate
-(a mixed 32 to 128 character token) and an ``endpoint`` (a URL with a host, or
+(a mixed token of 32 characters or more) and an ``endpoint`` (a URL with a host, or
 a host with a port).  A scope is the stretch of ``reach`` characters around a
 span, within its paragraph block (text between blank lines).  The interval
 join of access identifiers, secret candidates and endpoints by overlapping
@@ -35,7 +35,7 @@ REACH = 240
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # AKIA[A-Z0-9]+ of 20 or more
 HEX = re.compile(r"[0-9a-f]{24,}")
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/_=-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=-])")  # a key name and = may stand before
 ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?(?:/[^\s\"'<>]*)?|\b(?:[a-z0-9-]+\.)+[a-z]{2,}:[0-9]{2,5}\b")
 BLANK = re.compile(r"\n[ \t]*\n")
 BASE = ("assign", "access", "hex")
