@@ -58,6 +58,22 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def drawn(df: DataFrame, key: Column, n: int, rows: int) -> DataFrame:
+    """About ``rows`` of the ``n`` rows of df, those whose 63-bit hash is least; all if there are no more.
+
+    If the hashes there are (of a few keys with many rows) all lie above the
+    bound, it is rows of the least one: the sample is empty only where df is.
+    """
+    if n <= rows:
+        return df
+    h = key.bitwiseAND(F.lit((1 << 63) - 1))
+    found = df.filter(h < F.lit(min(-(-(rows << 63) // n), (1 << 63) - 1)))
+    if not found.isEmpty():
+        return found
+    least = df.agg(F.min(h)).first()[0]
+    return df.filter(h == F.lit(least)).limit(rows) if least is not None else df
+
+
 def salt_hot(df: DataFrame, key: str, limit: int, out: str) -> DataFrame:
     """Adds ``out``: 0, but spread over enough values where more than ``limit`` rows share ``key``.
 

@@ -14,8 +14,9 @@ isotonic calibration on the rest.  Scoring covers every whole text.
 
 Nulls are empty texts; an empty text has all features zero and gets a score
 like any other.  Labels that are null are no labels; of several labels of one
-id the highest counts.  With no labels, or only one class, the score is that
-class's share (0.5 without any).  Repeated rows get equal scores; further
+id the highest counts.  With only one class the score is that class's share.
+Without any label among the documents nothing tells a toxic one: the score is
+``UNKNOWN``, which keeps every document, and a warning says so.  Repeated rows get equal scores; further
 columns go along, and columns of the input named score are replaced.
 """
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,9 +34,10 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import P, held_out, written
+from tessera.llm.common import P, drawn, held_out, written
 
 SAMPLE_ROWS = 12_000
+UNKNOWN = 0.0
 LEXICON = 600
 STEMS = (4, 5, 6)
 TREES, DEPTH, SEED = 20, 4, 7
@@ -117,12 +120,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
                     rows: int = SAMPLE_ROWS) -> DataFrame:
     """(id, text, y, draw) of about ``rows`` labelled documents outside the held-out fifth, by hashed id.
 
-    Labels of up to ``rows`` ids are broadcast, a bound by construction.
+    Of more labelled ids than that, those are drawn from that have a document.
+    Labels of about ``rows`` ids are broadcast, a bound by construction.
     """
     known = (labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
              .groupBy(F.col(id_col).alias(P + "id")).agg(F.max(F.col(label).cast("double")).alias("y")))
-    share = min(1.0, rows / max(1, known.count()))
-    chosen = known.filter(F.pmod(F.xxhash64(P + "id", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * rows)
+    n = known.count()
+    if n > rows:
+        known = written(known.join(docs.select(F.col(id_col).alias(P + "id")).distinct(), P + "id", "left_semi"), "labels")
+        n = known.count()
+    chosen = drawn(known, F.xxhash64(P + "id", F.lit(SEED)), n, rows).limit(2 * rows)
     return written(docs.join(F.broadcast(chosen), F.col(id_col) == F.col(P + "id"))
                    .groupBy(P + "id").agg(F.first("y").alias("y"), F.first(text_col).alias("text"))
                    .withColumn("draw", F.pmod(F.xxhash64(P + "id", F.lit(SEED + 1)), F.lit(10))), "labelled")
@@ -153,8 +160,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     """A function that adds ``score`` to a frame."""
     sample = labelled_sample(docs, labels, label, id_col, text_col, rows)
     classes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("y").alias("n")).collect()}
+    if not classes:
+        warnings.warn(f"toxicity: no labelled document to learn from, every score is {UNKNOWN}", stacklevel=2)
     if len(classes) < 2:
-        flat = float(next(iter(classes), 0.5))
+        flat = float(next(iter(classes), UNKNOWN))
         return lambda df: df.withColumn("score", F.lit(flat))
     lexicon = learn_lexicon(sample)
     even, odd = sample.filter("draw % 2 = 0"), sample.filter("draw % 2 = 1")

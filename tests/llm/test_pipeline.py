@@ -3,10 +3,12 @@
 from collections import Counter
 
 import brute
+import pytest
 import corpus_pipeline as cp
 from conftest import SMALL
 from pyspark.sql import functions as F
 from tessera.llm.common import written
+from tessera.llm.queries import QUERIES
 
 
 def test_stages(spark):
@@ -48,6 +50,19 @@ def test_stages(spark):
     assert d5.groupby("doc_id")["shard"].nunique().max() == 1
 
 
+def test_no_labels_keep_documents(spark, tmp_path):
+    """An empty labels table, and labels of other documents only: nothing is rejected unseen."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    for name, some in (("none", labels.filter("false")), ("others", labels.withColumn("doc_id", -1 - F.col("doc_id")))):
+        some.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        with pytest.warns(UserWarning, match="no labelled document"):
+            kept = cp.toxic(spark, docs, f"{tmp_path}/{name}")
+        assert kept.count() == docs.count()
+        assert QUERIES["op8_toxicity"][0](spark, f"{tmp_path}/{name}").filter("predicted = 1 or score is null").isEmpty()
+
+
 def test_run_ends_as_its_stages(spark):
     out = cp.run(spark, SMALL)
     assert {"doc_id", "text", "shard", "slot"} <= set(out.columns)
