@@ -40,6 +40,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import drawn
+
 PAGES = 2_000
 #: The sample counts as so many pages beside the pseudo-counts: it comes from few site designs, and must not outvote them.
 WEIGHT = 3.0
@@ -334,10 +336,7 @@ class Model:
 
 def fit(pages: DataFrame, html_col: str = "html", limit: int = PAGES) -> Model:
     """Trains the potentials from pages that mark up their article, at most about ``limit`` of them."""
-    n = pages.count()
-    share = min(1.0, limit / max(1, n))
-    sample = pages.select(F.col(html_col).alias("html")).filter(
-        F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = drawn(pages.select(F.col(html_col).alias("html")), F.xxhash64("html"), pages.count(), limit)
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in parts:

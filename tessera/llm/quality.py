@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import P, held_out
+from tessera.llm.common import P, drawn, held_out, written
 
 SAMPLE_ROWS = 8_000
 PRIOR = 0.5
@@ -118,12 +118,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     if not good:
         return lambda df: df.withColumn("score", F.lit(PRIOR))
     prior = (good + 1) / (n + 2) if good < n else PRIOR
-    part = lambda share, s: F.pmod(F.xxhash64(P + "id", F.lit(SEED + s)), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000)
-    trusted = known.filter((F.col("y") == 1) & part(rows / good, 0)).limit(2 * rows)
+    key = lambda s: F.xxhash64(P + "id", F.lit(SEED + s))
+    trusted = known.filter("y = 1").select(P + "id")
+    if good > rows:  # drawn from those that have a document
+        trusted = written(trusted.join(docs.select(F.col(id_col).alias(P + "id")).distinct(), P + "id", "left_semi"), "trusted")
+        good = trusted.count()
+    trusted = drawn(trusted, key(0), good, rows).limit(2 * rows)
     web = docs.select(F.col(id_col).alias(P + "id"), F.col(text_col).alias(P + "text")).filter(~held_out(P + "id"))
-    drawn = rows / max(1, docs.count())
-    pos = add_features(web.join(F.broadcast(trusted.select(P + "id")), P + "id"), P + "text", "f").select("f")
-    unl = add_features(web.filter(part(drawn, 1)).limit(2 * rows), P + "text", "f").select("f")
+    pos = add_features(web.join(F.broadcast(trusted), P + "id"), P + "text", "f").select("f")
+    unl = add_features(drawn(web, key(1), docs.count(), rows).limit(2 * rows), P + "text", "f").select("f")
     x, u = (np.array([r["f"] for r in s.toPandas().to_dict("records")], float).reshape(-1, len(FEATURES)) for s in (pos, unl))
     if not len(x) or not len(u):
         return lambda df: df.withColumn("score", F.lit(float(prior)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import brute
 from conftest import MEDIUM, SMALL
 from tessera.llm import decontam, html, mixing, ordermh, quality, secrets, sharding, simhash, suffixdedup, toxicity
+from tessera.llm.common import drawn, held_out
 from tessera.llm.queries import QUERIES
 
 LONG = " ".join(f"w{random.Random(5).randrange(9000)}x{i % 977}" for i in range(30_000))
@@ -169,6 +170,27 @@ def test_classifiers_on_odd_rows(spark, docs, op, label):
     assert flat.select("score").distinct().count() == 1
 
 
+def test_samples_of_very_large_tables_are_not_empty(spark):
+    """A share of less than one in a million."""
+    n = 4_000_000
+    rows = drawn(spark.range(n), F.xxhash64("id"), n, 3).count()
+    assert 0 < rows < 20 and drawn(spark.range(9), F.xxhash64("id"), 9, 9).count() == 9
+    assert drawn(spark.range(9).select(F.lit(7).alias("id")), F.xxhash64("id"), 1 << 70, 2).count() == 2
+    assert drawn(spark.range(0), F.xxhash64("id"), 1 << 70, 2).isEmpty()
+    page = F.concat(F.lit("<article><p>One sentence. Two of them, page "), F.col("id"), F.lit(".</p></article><aside>x</aside>"))
+    assert html.fit(spark.range(n).select(page.alias("html")), limit=3).unary != html.Model({}, 0).unary
+
+
+def test_labelled_samples_are_drawn_from_documents(spark):
+    """Many more labels than documents: those of the documents are found, however small their share."""
+    n = 4_000_000
+    docs = spark.range(n - 12, n).select(F.col("id").alias("doc_id"), F.expr(f"repeat('text ' || id || ' ', int(id - {n - 13}))").alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"), F.lit(1).alias("quality"))
+    have = docs.filter(~held_out("doc_id")).count()
+    assert 0 < toxicity.labelled_sample(docs, labels, "toxic", "doc_id", "text", rows=3).count() <= have
+    assert quality.fit(docs, labels, rows=3)(docs).select("score").distinct().count() > 1
+
+
 def test_quality_risk_finds_a_line():
     import numpy as np
     rng = np.random.default_rng(0)
