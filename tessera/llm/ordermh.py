@@ -1,6 +1,9 @@
 """Document fingerprints by order MinHash, sensitive to edit distance.
 
-Tokens are the words of the text (runs without ASCII white space); a k-mer is
+Tokens are the words of the text (runs without ASCII white space); where
+``long_bytes`` is given, a longer word is as many tokens as it has code points,
+so that prose without spaces, minified code and the like are told apart by
+their edits, too.  A k-mer is
 ``K`` tokens in a row, and equal k-mers are numbered by occurrence, so that a
 text is a set of (k-mer, number) pairs.  A seeded hash deals the pairs to
 ``SLOTS`` slots and ranks them; each slot takes its ``PICK`` minimal pairs,
@@ -32,6 +35,7 @@ K = 3
 SLOTS = 32  # a power of two
 PICK = 2
 BITS = 26  # of a place
+LONG_BYTES = 64  # longer words are taken as their code points
 BUCKET_BYTES = 16 << 20
 MAX_BUCKETS = 8192  # larger tables get larger buckets
 
@@ -41,12 +45,21 @@ def _where(n: Column, cond) -> Column:
     return F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), cond)
 
 
-def signature(text: Column, k: int = K, slots: int = SLOTS, pick: int = PICK) -> Column:
+def tokens(words: Column, long_bytes: int | None) -> Column:
+    """The words, with the code points of those that have more than ``long_bytes`` bytes in their place."""
+    if long_bytes is None:
+        return words
+    long = lambda w: F.octet_length(w) > long_bytes
+    return bind(words, lambda x: F.when(F.exists(x, long), F.flatten(F.transform(
+        x, lambda w: F.when(long(w), F.split(w, "")).otherwise(F.array(w))))).otherwise(x))
+
+
+def signature(text: Column, k: int = K, slots: int = SLOTS, pick: int = PICK, long_bytes: int | None = None) -> Column:
     """array<long> of ``slots`` values, null where a slot is empty."""
     top = slots.bit_length() - 1
     place = (1 << BITS) - 1
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    hashes = F.transform(tokens(words, long_bytes), lambda w: F.xxhash64(w))
 
     def packed(h: Column) -> Column:  # k-mer hash above, place below
         n = F.size(h)
@@ -125,17 +138,17 @@ def with_next(df: DataFrame, id_col: str, cols: list[str], bucket_bytes: int = B
     return (d.withColumn("next", F.lead(F.struct(*cols)).over(order)).filter(F.col(P + "at.copy") == 0).select(*names, "next"))
 
 
-def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_bytes: int | None = None) -> DataFrame:
     """Every row with n_chars, its edited text (the last third from the next row's text), signatures and likenesses."""
     made = ("n_chars", "edited_text", "signature", "edited_signature", "near_edited", "near_next")
     cols = [c for c in df.columns if c not in made]
-    d = add_signature(df.select(*cols).withColumn(P + "t", text_of(text_col)), P + "t", P + "sig")
+    d = add_signature(df.select(*cols).withColumn(P + "t", text_of(text_col)), P + "t", P + "sig", long_bytes=long_bytes)
     d = with_next(d, id_col, [P + "t", P + "sig"], text_col=P + "t")
     n = F.length(P + "t")
     third = F.floor(n / 3).cast("int")
     d = d.select(*cols, n.cast("long").alias("n_chars"), F.col(P + "sig").alias("signature"), F.col("next")[P + "sig"].alias(P + "ns"),
                  F.concat(F.substring(P + "t", F.lit(1), n - third), F.substring(F.col("next")[P + "t"], F.lit(1), third)).alias("edited_text"))
-    d = add_signature(d, "edited_text", "edited_signature")
+    d = add_signature(d, "edited_text", "edited_signature", long_bytes=long_bytes)
     return d.select(*cols, "n_chars", "edited_text", "signature", "edited_signature",
                     likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
                     likeness(F.col("signature"), F.col(P + "ns")).alias("near_next"))

@@ -118,7 +118,7 @@ def op2_suffixdedup(spark, sf_dir):
 
 @query("op10_ordermh")
 def op10_ordermh(spark, sf_dir):
-    d = ordermh.edited_pairs(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = ordermh.edited_pairs(read(spark, sf_dir, "documents").select("doc_id", "text"), long_bytes=ordermh.LONG_BYTES)
     return d.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
                     ordermh.as_text(F.col("signature")).alias("fingerprint"),
                     ordermh.as_text(F.col("edited_signature")).alias("edited_fingerprint"), "near_edited", "near_next")

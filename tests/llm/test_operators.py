@@ -373,6 +373,21 @@ def test_order_matters(spark):
     assert same == 1.0 and near > far
 
 
+def test_texts_without_spaces_keep_their_likeness(spark, tmp_path):
+    """The last third is replaced: what is left of the text shows, also in one overlong word."""
+    draw = random.Random(3)
+    han = ["".join(chr(0x4E00 + draw.randrange(3000)) for _ in range(900)) for _ in range(3)]
+    code = ["".join(draw.choice("abcdefghij(){};=+01") for _ in range(900)) for _ in range(3)]
+    wide = ["".join(chr(0x20000 + draw.randrange(3000)) for _ in range(900)) for _ in range(3)]
+    rows = list(enumerate([*han, *code, *wide]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op10_ordermh"][0](spark, str(tmp_path)).collect()
+    assert all(0 < r.near_edited < 0.9 and r.near_next < r.near_edited for r in got)
+    assert sum(r.near_edited for r in got) / len(got) > 0.15  # a quarter is expected, of 32 slots
+    t = F.lit("a few short words, and " + "x" * 64)
+    assert spark.range(1).select(ordermh.signature(t) == ordermh.signature(t, long_bytes=64)).first()[0]
+
+
 @pytest.mark.parametrize("name", sorted(n for n, (_, sql) in QUERIES.items() if sql))
 def test_oracle(spark, duck, name):
     fn, sql = QUERIES[name]
