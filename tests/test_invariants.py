@@ -187,6 +187,14 @@ def test_elo_batch_matches_brute_force_and_stream(spark):
     assert (m["match_count"] == m["match_count_s"]).all()
 
 
+def test_stream_plays_all_draws(spark):
+    """The stream ends as the registered batch query, over its whole schedule."""
+    key = ["game", "component", "option"]
+    m = Q["m35_elo_ratings"](spark, SMALL).toPandas().merge(Q["r3_stream_running_elo"](spark, SMALL).toPandas(), on=key, how="outer", suffixes=("", "_s"))
+    assert np.allclose(m["elo"], m["elo_s"], atol=1e-9)
+    assert (m["match_count"] == m["match_count_s"]).all() and (m["agent_count"] == m["agent_count_s"]).all()
+
+
 def test_elo_plays_all_draws(spark):
     full = Q["m35_elo_ratings"](spark, SMALL).groupBy("game", "component").agg(F.sum("match_count").alias("n"))
     assert {r.n for r in full.collect()} == {20_000}  # two sides a draw
