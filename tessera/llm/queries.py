@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, html, mixing, ordermh, quality, secrets, sharding, simhash, suffixdedup, toxicity
+from tessera.llm import (alignment, decontam, exactdedup, html, mixing, ordermh, periodicity, quality, secrets, sharding, simhash,
+                         suffixdedup, toxicity)
 from tessera.llm.common import ASCII_LOW, ASCII_UP, held_out, read, text_of
 
 QUERIES: dict = {}
@@ -122,3 +123,26 @@ def op10_ordermh(spark, sf_dir):
     return d.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
                     ordermh.as_text(F.col("signature")).alias("fingerprint"),
                     ordermh.as_text(F.col("edited_signature")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query("op11_alignment")
+def op11_alignment(spark, sf_dir):
+    return alignment.align(read(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
+_OP12_SQL = """
+WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
+FROM d"""
+
+
+@query("op12_exactdedup", _OP12_SQL)
+def op12_exactdedup(spark, sf_dir):
+    return exactdedup.exact_groups(read(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+@query("op13_periodicity")
+def op13_periodicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", periodicity.looped().alias("text"))
+    return periodicity.find_runs(docs).drop("text", "runs")
