@@ -13,8 +13,8 @@ character other than a space and one other than white space: A starts a new
 unit at it, and no piece of B has a space after another character (asked of
 the vocabulary when it is loaded).  Such a space is therefore an end
 for both, and a text's groups are those of its stretches between such spaces,
-one after another.  Each distinct stretch is aligned once and kept while it is
-in use (``MEMO`` stretches twice over, whatever the text's length).
+one after another.  Each distinct stretch is aligned once and kept until
+``MEMO`` of them are held.
 
 Links are counted over the corpus: rows of (document, id pair, times), summed
 by pair.  Pairs with 1 / ``HOT`` of all links or more, so at most ``HOT``, are
@@ -30,6 +30,7 @@ every node.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -45,14 +46,19 @@ from tessera.llm.common import P, written
 
 FOLDER = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Stretches kept before older ones are let go.
-MEMO = 1 << 16
+#: Stretches kept before they are let go, stretches aligned at a time, and texts at a time.
+MEMO, BATCH, TEXTS = 1 << 18, 1 << 12, 128
 #: Pairs with this fraction of all links, or more, are broadcast.
 HOT = 1 << 17
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 NAMES = (*COUNTS, "n_best", "count_sum", "groups_sha256")
 _CUT = re.compile(r"(?<=[^ ]) (?=\S)")
 _ODD = re.compile(r" \s|^\s| $")
+#: Letters that every version of Unicode puts in the same classes; the faster merge loop is used for texts of them only.
+_LATIN = re.compile("[\x00-\u017f]*")
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: how A cuts its units
+NONE = (0, 0, "", b"")
+_EDGE = re.compile(r"^(?:\s|$)| $")
 
 
 def ends_of(lengths: np.ndarray, ids: list[int]) -> dict[int, int]:
@@ -80,6 +86,7 @@ class Aligner:
 
     def __init__(self, folder: str = FOLDER, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(os.path.join(folder, byte_bpe))
@@ -94,73 +101,107 @@ class Aligner:
         self.bytes_b = [self._piece_bytes(i) for i in range(self.b.get_piece_size())]
         self.len_a, self.len_b = (np.array(list(map(len, t)), np.int64) for t in (self.bytes_a, self.bytes_b))
         self.apart = not any(b" " in x.lstrip(b" ") for x in self.bytes_b)
-        self.new: dict[str, tuple | None] = {}
-        self.old: dict[str, tuple | None] = {}
+        self.name = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
+        special = {x.content for x in self.a.get_added_tokens_decoder().values()}
+        ranks = {self.bytes_a[i]: i for piece, i in vocabulary.items() if piece not in special}
+        self.fast_a = tiktoken.Encoding("byte_bpe", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.memo: dict[str, tuple] = {}
 
     def _piece_bytes(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[1:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """The ids of both for each text; None where the bytes do not come back."""
-        a = [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        out = []
-        for t, x, y in zip(texts, a, b):
-            whole = (" " + t).encode()
-            same = b"".join(map(self.bytes_a.__getitem__, x)) == whole == b"".join(map(self.bytes_b.__getitem__, y))
-            out.append((x, y) if t and same else None)
-        return out
-
-    def align(self, ids: tuple[list[int], list[int]] | None) -> tuple | None:
-        """(tokens of A, of B, groups as text, id pairs of the links) of one encoded text."""
+    def encode(self, text: str) -> tuple[list[int], list[int]] | None:
+        """The ids of both; None for no tokens."""
+        if _LATIN.fullmatch(text):
+            x = self.fast_a.encode_ordinary(" " + text)
+        else:
+            x = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        y = self.b.encode(text)
+        whole = (" " + text).encode()
+        fits = text and b"".join(map(self.bytes_a.__getitem__, x)) == whole == b"".join(map(self.bytes_b.__getitem__, y))
+        return (x, y) if fits else None
+
+    def align(self, parts: list[str]) -> list[tuple] | None:
+        """(tokens of A, of B, groups as text, id pairs of the links as packed longs) of each stretch of the text that
+        single spaces between the parts make; None if the text has no tokens."""
+        ids = self.encode(" ".join(parts))
         if ids is None:
             return None
         x, y = ids
-        groups, links = [], []
-        for i, to_i, j, to_j in slices(ends_of(self.len_a, x), ends_of(self.len_b, y)):
-            groups.append(",".join(map(str, x[i:to_i])) + "|" + ",".join(map(str, y[j:to_j])))
-            links.append(x[to_i - 1] << 32 | y[to_j - 1])  # of a slice's tokens only the last ones end together
-        return len(x), len(y), ";".join(groups), links
+        ends_a, ends_b = ends_of(self.len_a, x), ends_of(self.len_b, y)
+        name_x, name_y = list(map(self.name.__getitem__, x)), list(map(self.name.__getitem__, y))
+        groups, last_x, last_y = [], [], []
+        for i, to_i, j, to_j in slices(ends_a, ends_b):
+            groups.append((name_x[i] if to_i == i + 1 else ",".join(name_x[i:to_i])) + "|" +
+                          (name_y[j] if to_j == j + 1 else ",".join(name_y[j:to_j])))
+            last_x.append(to_i)  # of a slice's tokens only the last ones end together
+            last_y.append(to_j)
+        last_x, last_y = np.array(last_x), np.array(last_y)
+        links = np.array(x, np.int64)[last_x - 1] << 32 | np.array(y, np.int64)[last_y - 1]
+        ends = np.cumsum([len(p) + 1 if p.isascii() else len(p.encode()) + 1 for p in parts]).tolist()
+        to_x, to_y = (np.array(list(map(e.__getitem__, ends))) for e in (ends_a, ends_b))
+        to = np.searchsorted(last_x, to_x) + 1
+        start = np.append(0, to[:-1])
+        if len(parts) == len(groups):
+            text = groups
+        else:
+            text = [groups[i] if k == i + 1 else ";".join(groups[i:k]) for i, k in zip(start.tolist(), to.tolist())]
+        packed = links.tobytes()
+        pairs = [packed[i:k] for i, k in zip((8 * start).tolist(), (8 * to).tolist())]
+        return list(zip(np.diff(to_x, prepend=0).tolist(), np.diff(to_y, prepend=0).tolist(), text, pairs))
+
+    def remember(self, parts: list[str]) -> None:
+        """Aligns the stretches and keeps them; together, as one text, or each by itself where that has no tokens."""
+        found = self.align(parts)
+        if found is None:
+            found = [(self.align([s]) or [NONE])[0] for s in parts]
+        self.memo.update(zip(parts, found))
 
     def stretches(self, text: str) -> list[str]:
         return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
-    def texts(self, texts: list[str | None]) -> list[tuple | None]:
-        """The alignment of each text: (tokens of A, of B, groups as text, id pairs); None for no tokens."""
+    def texts(self, texts: list[str | None]) -> list[tuple]:
+        """The alignment of each text, as of ``align``, from its stretches' where they can be taken apart."""
+        get = self.memo.get
         cut = [self.stretches(t) if t and self.apart else [] for t in texts]
-        memo = {}
-        for s in {s for parts in cut for s in parts}:
-            found = self.new.get(s, 0)
-            memo[s] = self.old.get(s, 0) if found == 0 else found
-        todo = [s for s, found in memo.items() if found == 0]
-        memo |= zip(todo, map(self.align, self.encode(todo)))
-        self.new |= memo
-        if len(self.new) > MEMO:
-            self.old, self.new = self.new, {}
+        known = [list(map(get, parts)) for parts in cut]
+        todo = {s for parts, found in zip(cut, known) if None in found for s, f in zip(parts, found) if f is None}
+        plain, rest = [], []
+        for s in todo:  # white space at an edge: only in a text's first stretch and its last one
+            (rest if _EDGE.search(s) else plain).append(s)
+        for latin in (True, False):
+            some = [s for s in plain if (_LATIN.fullmatch(s) is not None) == latin]
+            for at in range(0, len(some), BATCH):
+                self.remember(some[at:at + BATCH])
+        for s in rest:
+            self.remember([s])
         out = []
-        for t, parts in zip(texts, cut):
-            found = list(map(memo.__getitem__, parts))
+        for t, parts, found in zip(texts, cut, known):
+            if None in found:
+                found = [get(s) if f is None else f for s, f in zip(parts, found)]
             if not t:
-                out.append(None)
-            elif not found or None in found:  # a stretch does not come back: the text decides
-                out.append(self.align(self.encode([t])[0]))
+                out.append(NONE)
+            elif not found or NONE in found:  # a stretch does not come back: the whole text decides
+                out += self.align([t]) or [NONE]
             else:
                 a, b, groups, links = zip(*found)
-                out.append((sum(a), sum(b), ";".join(groups), [x for part in links for x in part]))
+                out.append((sum(a), sum(b), ";".join(groups), b"".join(links)))
+        if len(self.memo) > MEMO:
+            self.memo.clear()
         return out
 
 
 _TYPE = ("struct<n_a:long,n_b:long,n_groups:long,n_links:long,groups_sha256:string,pair:array<long>,times:array<int>>")
 
 
-def _arrays(found: list[tuple | None]) -> pa.StructArray:
+def _arrays(found: list[tuple]) -> pa.StructArray:
     counts, digests, pairs, times, ends = [], [], [], [], [0]
     for x in found:
-        a, b, groups, links = x or (0, 0, "", [])
-        pair, n = np.unique(np.array(links, np.int64), return_counts=True)
-        counts.append((a, b, len(links), len(links)))
-        digests.append(hashlib.sha256(groups.encode()).hexdigest() if x else "")
+        a, b, groups, links = x
+        pair, n = np.unique(np.frombuffer(links, np.int64), return_counts=True)
+        counts.append((a, b, len(links) // 8, len(links) // 8))
+        digests.append(hashlib.sha256(groups.encode()).hexdigest() if a else "")
         pairs.append(pair)
         times.append(n)
         ends.append(ends[-1] + len(pair))
@@ -178,11 +219,13 @@ def aligned(df: DataFrame, text_col: str = "text", folder: str = FOLDER, byte_bp
     @F.arrow_udf(_TYPE)
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         both = Aligner(folder, byte_bpe, piece_bpe)
-        for texts in parts:
-            found = []
-            for at in range(0, len(texts), 256):
-                found += both.texts(texts[at:at + 256].to_pylist())
-            yield _arrays(found)
+        gc.disable()  # millions of small tuples, none in a cycle
+        try:
+            for texts in parts:
+                for at in range(0, len(texts), TEXTS):
+                    yield _arrays(both.texts(texts[at:at + TEXTS].to_pylist()))
+        finally:
+            gc.enable()
 
     names = [*COUNTS, "groups_sha256", "pair", "times"]
     cols = [c for c in df.columns if c not in names]

@@ -70,20 +70,15 @@ def test_frequent_digests_are_found_across_partitions(spark):
 
 
 def plain_runs(w, least=24, times=3):
-    out = []
+    out, number = [], np.unique(w, return_inverse=True)[1]
     for p in range(1, len(w) // times + 1):
-        s = 0
-        while s + p < len(w):
-            e = s
-            while e + p < len(w) and w[e] == w[e + p]:
-                e += 1
-            if e > s:
-                length = e + p - s
+        same = np.r_[False, number[p:] == number[:-p], False].astype(np.int8)
+        for s, e in zip(np.flatnonzero(np.diff(same) == 1).tolist(), np.flatnonzero(np.diff(same) == -1).tolist()):
+            length = e + p - s
+            if length >= max(least, times * p):
                 part = w[s:s + length]
-                least_p = next(q for q in range(1, p + 1) if part[q:] == part[:-q])
-                if least_p == p and length >= max(least, times * p):
+                if next(q for q in range(1, p + 1) if part[q:] == part[:-q]) == p:
                     out.append((s, length, p))
-            s = e + 1
     return sorted(out, key=lambda r: (r[0], r[2]))
 
 
@@ -102,12 +97,12 @@ def test_runs_equal_brute_force_for_any_cut(pieces, step):
 def test_runs_of_long_and_hard_words():
     fib = [0, 1]
     a, b = [0], [0, 1]
-    while len(b) < 1200:
+    while len(b) < 300:
         a, b = b, b + a
     gaps = sum([[0] * 60 + [i] for i in (1, 1, 1, 1, 2, 1, 1, 1)], [])
     draw = random.Random(4)
     unit = [draw.randrange(50) for _ in range(97)]
-    for w in (b, gaps, unit * 5 + unit[:13] + [99] + unit * 3, fib * 400):
+    for w in (b, gaps, unit * 5 + unit[:13] + [99] + unit * 3, fib * 150):
         assert periodicity.runs_of(np.array(w, np.int64)) == plain_runs(w)
     n = 300_000
     assert periodicity.runs_of(np.zeros(n, np.int64)) == [(0, n, 1)]
@@ -213,9 +208,21 @@ def test_stretches_tokenise_like_the_text(plain_tokens, text):
     groups, links = plain_alignment(x, y)
     got = a.texts([text])[0]
     if not x:
-        assert got is None
+        assert got == alignment.NONE
     else:
-        assert got[:3] == (len(x), len(y), groups) and got[3] == [i << 32 | j for i, j in links]
+        assert got[:3] == (len(x), len(y), groups) and np.frombuffer(got[3], np.int64).tolist() == [i << 32 | j for i, j in links]
+
+
+def test_both_merge_loops_give_the_same_ids():
+    a = _aligner()
+    latin = [chr(x) for x in range(0x180)]
+    for x in latin:
+        for t in (x, f"a{x}b", f"1{x} {x}{x}a", f" {x}'s{x}\n{x} ", f"{x} {x}  {x}"):
+            assert a.fast_a.encode_ordinary(" " + t) == a.a.encode(" " + t, add_special_tokens=False).ids, repr(t)
+    draw = random.Random(8)
+    for _ in range(3000):
+        t = "".join(draw.choices(latin + [" ", "\n", "a", "e", "'", "1"] * 60, k=draw.randrange(40)))
+        assert a.fast_a.encode_ordinary(" " + t) == a.a.encode(" " + t, add_special_tokens=False).ids, repr(t)
 
 
 def _aligner(memo=[]):  # noqa: B006 - one for all examples
