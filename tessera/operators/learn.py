@@ -1,11 +1,11 @@
-"""Statistical learning on Spark.
+"""Statistical learning on Spark (M1-M8, M10, M24-M34; M12 and M13 are in ``isotonic``).
 
 Models are MLlib estimators; folds are data (a ``fold`` column), so every
 cross-validated fit is "train where fold != f, predict where fold == f",
 and the OOF table is the union of per-fold transforms keyed by row id.
 Per-fold fits are independent Spark jobs submitted from a small driver
 thread pool over one cached feature frame.  Anything pulled to the driver
-is model-sized (coefficients, knots, Gram matrices, importances).
+is model-sized (coefficients, Gram matrices, importances).
 """
 
 
@@ -139,58 +139,6 @@ def grouped_cv(df: DataFrame, make_estimator, features: Sequence[str], label: st
     return (oof, models) if keep_models else oof
 
 
-def isotonic_cv(df: DataFrame, pred: str, label: str, fold: str, n_folds: int, row_id: str,
-                out: str = "iso") -> DataFrame:
-    """M12 — isotonic recalibration by grouped CV: clip raw to [-1, 1], fit
-    per training folds (MLlib's parallel PAVA), out-of-range clipped by the
-    model, NULL → raw."""
-    from pyspark.ml.regression import IsotonicRegression
-    x = df.select(row_id, fold, label, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(pred))).alias("_p"))
-    from pyspark.ml.functions import array_to_vector
-    x = fit_frame(x.withColumn("features", array_to_vector(F.array("_p"))))
-
-    def fit_one(f):
-        m = IsotonicRegression(featuresCol="features", labelCol=label).fit(x.where(F.col(fold) != f))
-        t = m.transform(x.where(F.col(fold) == f))
-        return t.select(row_id, fold, F.col("_p").alias("raw_clipped"),
-                        F.coalesce(F.col("prediction"), F.col("_p")).alias(out))
-
-    parts = _fit_folds(list(range(n_folds)), fit_one)
-    out_df = parts[0]
-    for p in parts[1:]:
-        out_df = out_df.unionByName(p)
-    out_df = stored(out_df, "isotonic")
-    x.unpersist()
-    return out_df
-
-
-def centered_isotonic_knots(df: DataFrame, x: str, y: str) -> DataFrame:
-    """M13 — centred isotonic regression knots: fit isotonic, then collapse
-    each constant (pooled) block to one knot at its weighted centroid
-    (mean x of the block, block value).  The knot table is model-sized."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import IsotonicRegression
-    d = df.select(F.col(x).alias("_x"), F.col(y).alias("_y")).withColumn("features", array_to_vector(F.array("_x")))
-    m = IsotonicRegression(featuresCol="features", labelCol="_y").fit(d)
-    fitted = m.transform(d).select("_x", F.col("prediction").alias("_yhat"))
-    return fitted.groupBy("_yhat").agg(F.avg("_x").alias("knot_x")).select("knot_x", F.col("_yhat").alias("knot_y"))
-
-
-def interpolate_knots(df: DataFrame, col: str, knots: DataFrame, out: str) -> DataFrame:
-    """M13 — ``np.interp`` on a broadcast knot table (model-sized)."""
-    import pandas as pd
-    from pyspark.sql.types import DoubleType
-    k = knots.orderBy("knot_x").toPandas()
-    bk = df.sparkSession.sparkContext.broadcast((k["knot_x"].to_numpy(), k["knot_y"].to_numpy()))
-
-    @F.pandas_udf(DoubleType())
-    def interp(s: pd.Series) -> pd.Series:
-        kx, ky = bk.value
-        return pd.Series(np.interp(s.to_numpy(dtype=float), kx, ky))
-
-    return df.withColumn(out, interp(F.col(col)))
-
-
 def fold_gram(df: DataFrame, fold: str, features: Sequence[str], label: str) -> dict[int, np.ndarray]:
     """Per-fold augmented Gram matrices [1, X, y]ᵀ[1, X, y] in one
     aggregate pass (model-sized: (k+2)² numbers per fold)."""

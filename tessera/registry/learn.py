@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions.hashing import hash_int
 from tessera.operators import learn as L
 from tessera.operators.folds import group_kfold
+from tessera.operators.isotonic import isotonic_cv
 from tessera.functions.hashing import sql_hash_int
 from tessera.plans.fixtures import PREDICTIONS_SQL, matches, predictions
 from tessera.registry import register
@@ -130,17 +131,18 @@ def m10(spark, d):
 
 @register("m12_isotonic_cv")
 def m12(spark, d):
-    """Grouped-CV isotonic recalibration of p1 (row_id, fold, iso)."""
+    """Grouped-CV isotonic recalibration of p1, centred in folds whose training targets span [-1, 1]
+    (row_id, fold, raw_clipped, iso, centred)."""
     p = group_kfold(predictions(spark, d), "game", 5, 42)
-    return L.isotonic_cv(p, "p1", "y", "fold", 5, "row_id")
+    return isotonic_cv(p, "p1", "y", "fold", 5, "row_id")
 
 
 @register("m13_centered_isotonic")
 def m13(spark, d):
-    """Centred isotonic: block-centroid knots, linear interpolation."""
-    p = predictions(spark, d)
-    knots = L.centered_isotonic_knots(p, "p1", "y")
-    return L.interpolate_knots(p.select("row_id", "p1"), "p1", knots, "cir")
+    """Centred isotonic by grouped CV: pooled blocks become their weighted centroids, linear between them;
+    raw beyond the first and last."""
+    p = group_kfold(predictions(spark, d), "game", 5, 42)
+    return isotonic_cv(p, "p1", "y", "fold", 5, "row_id", out="cir", centred=True).drop("centred")
 
 
 _NCV_SUMS = "count(*) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxy) AS sxy, sum(sxx) AS sxx"
