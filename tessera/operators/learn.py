@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import uniform
+from tessera.operators.gram import block_gram
 from tessera.operators.ordered import average_rank, global_prefix_sum
 from tessera.sources.sinks import stored
 
@@ -140,21 +141,9 @@ def grouped_cv(df: DataFrame, make_estimator, features: Sequence[str], label: st
 
 
 def fold_gram(df: DataFrame, fold: str, features: Sequence[str], label: str) -> dict[int, np.ndarray]:
-    """Per-fold augmented Gram matrices [1, X, y]ᵀ[1, X, y] in one
-    aggregate pass (model-sized: (k+2)² numbers per fold)."""
-    cols = ["_one", *features, label]
-    x = df.withColumn("_one", F.lit(1.0))
-    aggs = [F.sum(F.col(a).cast("double") * F.col(b).cast("double")).alias(f"{i}_{j}")
-            for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-    rows = x.groupBy(fold).agg(*aggs).collect()
-    out = {}
-    for r in rows:
-        g = np.zeros((len(cols), len(cols)))
-        for i in range(len(cols)):
-            for j in range(i, len(cols)):
-                g[i, j] = g[j, i] = r[f"{i}_{j}"]
-        out[r[fold]] = g
-    return out
+    """Per-fold augmented Gram matrices [1, X, y]ᵀ[1, X, y] in one pass of block products
+    (model-sized: (k+2)² numbers per fold)."""
+    return block_gram(df.withColumn("_one", F.lit(1.0)), ["_one", *features, label], fold)
 
 
 def cv_rmse_from_gram(grams: dict[int, np.ndarray], subset: Sequence[int], ridge: float = 1e-9) -> float:
@@ -175,39 +164,6 @@ def cv_rmse_from_gram(grams: dict[int, np.ndarray], subset: Sequence[int], ridge
     return float(np.sqrt(max(sse, 0.0) / n))
 
 
-def backward_elimination(grams, n_features: int) -> list[tuple[int, int | None, float]]:
-    """M32 — repeatedly drop the feature whose removal lowers CV RMSE most;
-    stop when no removal helps.  Returns (step, dropped, rmse)."""
-    cur = list(range(n_features))
-    best = cv_rmse_from_gram(grams, cur)
-    path = [(0, None, best)]
-    while len(cur) > 1:
-        trials = [(cv_rmse_from_gram(grams, [c for c in cur if c != f]), f) for f in cur]
-        r, f = min(trials)
-        if r >= best:
-            break
-        cur.remove(f)
-        best = r
-        path.append((len(path), f, r))
-    return path
-
-
-def forward_selection(grams, n_features: int) -> list[tuple[int, int | None, float]]:
-    """M33 — repeatedly add the candidate that lowers CV RMSE most."""
-    cur: list[int] = []
-    best = cv_rmse_from_gram(grams, cur)
-    path = [(0, None, best)]
-    while len(cur) < n_features:
-        trials = [(cv_rmse_from_gram(grams, cur + [f]), f) for f in range(n_features) if f not in cur]
-        r, f = min(trials)
-        if r >= best:
-            break
-        cur.append(f)
-        best = r
-        path.append((len(path), f, r))
-    return path
-
-
 def nested_cv_linear(df: DataFrame, x: str, y: str, outer: str, inner: str, row_id: str) -> DataFrame:
     """M24 — nested CV with 1-feature OLS, exact and shuffle-light:
     per (outer, inner) cell sufficient statistics; the inner model for

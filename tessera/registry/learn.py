@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import hash_int
+from tessera.operators import gram as G
 from tessera.operators import learn as L
 from tessera.operators.folds import group_kfold
 from tessera.operators.isotonic import isotonic_cv
@@ -266,27 +267,43 @@ def m30(spark, d):
     return out
 
 
+#: The base features, their squares and their products.
+WIDE = FEATURES + [f"{a}*{b}" for i, a in enumerate(FEATURES) for b in FEATURES[i:]]
+
+
+def _wide(m):
+    pairs = [c.split("*") for c in WIDE[len(FEATURES):]]
+    return m.select("*", *[(F.col(a).cast("double") * F.col(b).cast("double")).alias(f"{a}*{b}") for a, b in pairs])
+
+
 def _selection_grams(spark, d):
-    m = matches(spark, d).withColumn("fold", F.pmod(hash_int(61, "game"), F.lit(5)))
-    return L.fold_gram(m, "fold", FEATURES, "utility")
+    m = _wide(matches(spark, d)).withColumn("fold", F.pmod(hash_int(61, "game"), F.lit(5)))
+    return L.fold_gram(m, "fold", WIDE, "utility")
 
 
 @register("m32_backward_elimination")
 def m32(spark, d):
-    """Backward elimination path by exact linear CV RMSE (per-fold Grams)."""
-    path = L.backward_elimination(_selection_grams(spark, d), len(FEATURES))
-    rows = [(s, FEATURES[f] if f is not None else None, float(r)) for s, f, r in path]
+    """Backward elimination over features, squares and products by exact linear CV RMSE (one Gram matrix a fold, swept)."""
+    path = G.backward_elimination(_selection_grams(spark, d), len(WIDE))
+    rows = [(s, WIDE[f] if f is not None else None, float(r)) for s, f, r in path]
     return spark.createDataFrame(rows, "step int, dropped string, cv_rmse double")
 
 
 @register("m33_forward_selection")
 def m33(spark, d):
-    """Forward selection path by exact linear CV RMSE (per-fold Grams)."""
-    path = L.forward_selection(_selection_grams(spark, d), len(FEATURES))
-    rows = [(s, FEATURES[f] if f is not None else None, float(r)) for s, f, r in path]
+    """Forward selection over features, squares and products by exact linear CV RMSE (one Gram matrix a fold, swept)."""
+    path = G.forward_selection(_selection_grams(spark, d), len(WIDE))
+    rows = [(s, WIDE[f] if f is not None else None, float(r)) for s, f, r in path]
     return spark.createDataFrame(rows, "step int, added string, cv_rmse double")
 
 
+@register("m9_correlation_picked")
+def m9_picked(spark, d):
+    """Grouped-CV linear regression on the features, squares and products whose |r| exceeds 0.01 in the fold's training rows."""
+    m = group_kfold(_wide(matches(spark, d)), "game", 5, 42)
+    return G.picked_linear_cv(m, "fold", WIDE, "utility", "row_id", 0.01)[0]
+
+
 @register("m34_random_search")
 def m34(spark, d):
     """Seeded random search (log-uniform regParam, uniform elasticNet) with
