@@ -77,3 +77,15 @@ def split_packed(c: Column, sep_regex: str, n: int, prefix: str, drop_first: boo
     arr = F.split(c, sep_regex)
     start = 1 if drop_first else 0
     return [F.try_element_at(arr, F.lit(i + 1)).alias(f"{prefix}_{i}") for i in range(start, n)]
+
+
+def as_variant(df: DataFrame, col: str) -> DataFrame:
+    """N3 — the map or struct column as a VARIANT: one nested value per key, whose fields may differ from row to row."""
+    return df.withColumn(col, F.to_variant_object(F.col(col)))
+
+
+def variant_paths(df: DataFrame, key: str, col: str, name: str, value: str, kind: str) -> DataFrame:
+    """N3 — (key, name, value): the fields of a VARIANT object, one row each."""
+    fields = df.sparkSession.tvf.variant_explode(F.col(col).outer())
+    return df.select(key, col).lateralJoin(fields).select(
+        key, F.col("key").alias(name), F.try_variant_get(F.col("value"), "$", kind).alias(value))

@@ -1,5 +1,8 @@
 """J1-J13 joins and U1-U6 set operations."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import joins as J
@@ -158,11 +161,14 @@ def u2(spark, d):
     return R.distinct_union(matches(spark, d), "agent1", "agent2")
 
 
-@register("u3_intersect", """
-SELECT l_partkey FROM lineitem WHERE l_linenumber = 1 INTERSECT SELECT l_partkey FROM lineitem WHERE l_linenumber = 2""")
+_RUNS = range(1, 8)
+
+
+@register("u3_intersect", " INTERSECT ".join(f"SELECT l_partkey FROM lineitem WHERE l_linenumber = {r}" for r in _RUNS))
 def u3(spark, d):
+    """Keys that every run has."""
     li = table(spark, d, "lineitem")
-    return li.where("l_linenumber = 1").select("l_partkey").intersect(li.where("l_linenumber = 2").select("l_partkey"))
+    return reduce(DataFrame.intersect, [li.where(F.col("l_linenumber") == r).select("l_partkey") for r in _RUNS])
 
 
 @register("u4_except", """

@@ -51,15 +51,16 @@ def n2(spark, d):
     return R.unpivot(li, ["row_id"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
-@register("n3_nested_map")
+@register("n3_nested_map", """
+SELECT l_partkey, 'r' || CAST(l_linenumber AS VARCHAR) AS run, CAST(min(l_quantity) AS DOUBLE) AS quantity
+FROM lineitem GROUP BY l_partkey, l_linenumber""")
 def n3(spark, d):
-    """Long (part, run) → one JSON map per part (run → quantity).  No
-    oracle: JSON number formatting differs between engines."""
+    """Long (part, run) → one nested VARIANT per part (run → quantity), read back path by path."""
     li = table(spark, d, "lineitem")
-    first = li.groupBy("l_partkey", "l_linenumber").agg(F.min("l_quantity").alias("q"))
+    first = li.groupBy("l_partkey", "l_linenumber").agg(F.min("l_quantity").cast("double").alias("q"))
     m = R.nested_map(first.withColumn("run", F.concat(F.lit("r"), F.col("l_linenumber").cast("string"))),
                      "l_partkey", "run", "q")
-    return m.select("l_partkey", F.to_json("m").alias("runs_json"))
+    return R.variant_paths(R.as_variant(m, "m"), "l_partkey", "m", "run", "quantity", "double")
 
 
 @register("n4_drop_incomplete", """
