@@ -119,8 +119,8 @@ def run_differences(base: DataFrame, others: DataFrame, key: str, run: str, colu
 
 
 def weighted_mean(long: DataFrame, row: str, model: str, pred: str, weights: DataFrame) -> DataFrame:
-    """A21 — Σ w·p / Σ w per row; the weight table is model-sized (broadcast)."""
-    j = long.join(F.broadcast(weights), model)
+    """A21 — Σ w·p / Σ w per row; AQE broadcasts the weight table if its measured size allows."""
+    j = long.join(weights, model)
     return j.groupBy(row).agg((F.sum(F.col("weight") * F.col(pred)) / F.sum("weight")).alias("blend"))
 
 

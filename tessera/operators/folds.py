@@ -80,7 +80,7 @@ def row_folds(df: DataFrame, row_id: str, n_folds: int, seed, exact: bool = Fals
     if not exact:
         return df.withColumn(out, F.pmod(hash_int(seed, row_id), F.lit(n_folds)).cast("bigint"))
     d = df.withColumn("_h", hash_hex(seed, row_id))
-    r = rank_by_hash(d, "_h", tiebreak=[row_id])
+    r = global_prefix_sum(d, ["_h", row_id], out="rank").withColumn("rank", F.col("rank") - 1).withColumn("total", F.lit(d.count()))
     return r.withColumn(out, ntile_fold(F.col("rank"), F.col("total"), n_folds)).drop("_h", "rank", "total")
 
 

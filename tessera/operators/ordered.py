@@ -20,7 +20,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.hashing import hash_hex
 
 
 def _cols(cs) -> list[Column]:
@@ -137,6 +136,18 @@ def elite_merge_report(df: DataFrame, cells: Sequence[str], generation: str, fit
                                            F.count(F.lit(1)).cast("bigint").alias("cells_tried"))
 
 
+def merged_elites(df: DataFrame, cells: Sequence[str], generation: str, fitness: str, key: str, only_new: bool = True) -> DataFrame:
+    """W10 — the grid after all generations: (cells, fitness, generation, key).  A later candidate takes a cell only if it is
+    strictly better, so ties stay with the earliest generation, then the least key.  ``only_new`` leaves out
+    elites whose key is among the originals (the first generation)."""
+    best = grid_elites(df, cells, fitness, [], [generation, key])
+    if not only_new:
+        return best
+    first = df.agg(F.min(generation).alias("_first"))
+    originals = df.join(F.broadcast(first), F.col(generation) == F.col("_first")).select(F.col(key).alias("_original")).distinct()
+    return best.join(originals, F.col(key) == F.col("_original"), "left_anti")
+
+
 def top_k_per_group(df: DataFrame, group: Sequence[str], score: str, tiebreak: str, k: int,
                     keep: bool = True, out: str = "rank") -> DataFrame:
     """W11 — rank by score desc (tiebreak asc) inside each group; keep top-k
@@ -148,15 +159,3 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], score: str, tiebreak: s
         return r.where(F.col(out) <= k)
     n = F.count(F.lit(1)).over(Window.partitionBy(*group))
     return r.withColumn("_n", n).where(F.col(out) <= F.col("_n") - k).drop("_n")
-
-
-def stable_index(df: DataFrame, text: str, out: str = "index") -> DataFrame:
-    """T5 — stable 0-based index of distinct texts, in sha-256 order."""
-    d = df.select(text).distinct().withColumn("_h", F.sha2(F.col(text), 256))
-    return rank_by_hash(d, "_h", out=out, total=None).drop("_h")
-
-
-def hashed_positions(df: DataFrame, seed, key_cols: Sequence[str], out: str = "pos") -> DataFrame:
-    """Positions 0..n-1 of rows in a seeded hash order (a random permutation)."""
-    d = df.withColumn("_h", hash_hex(seed, *key_cols))
-    return rank_by_hash(d, "_h", out=out, total="n_items", tiebreak=key_cols).drop("_h")

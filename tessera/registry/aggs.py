@@ -355,7 +355,8 @@ r AS (SELECT noise, seed, sqrt(avg(power(utility - (utility * 0.6 + ({_SEED_U} -
       FROM m, (VALUES {', '.join(f'({s})' for s in _SEEDS)}) v(seed), (VALUES {', '.join(f'({x}::DOUBLE)' for x in _NOISE)}) c(noise)
       GROUP BY noise, seed)
 SELECT noise, round(avg(rmse), 6) AS mean_rmse, round(stddev_pop(rmse), 6) AS std_rmse, round(min(rmse), 6) AS min_rmse,
-       round(max(rmse), 6) AS max_rmse, count(*) AS n FROM r GROUP BY noise""")
+       round(max(rmse), 6) AS max_rmse, count(*) AS n,
+       {", ".join(f"round(max(rmse) FILTER (WHERE seed = {s}), 6) AS score_{s}" for s in _SEEDS)} FROM r GROUP BY noise""")
 def a26(spark, d):
     m = matches(spark, d)
     x = m.select("row_id", "utility", F.explode(F.array(*[F.lit(s) for s in _SEEDS])).alias("seed"),
@@ -367,4 +368,5 @@ def a26(spark, d):
     return r.groupBy("noise").agg(F.round(F.avg("rmse"), 6).alias("mean_rmse"),
                                   F.round(F.stddev_pop("rmse"), 6).alias("std_rmse"),
                                   F.round(F.min("rmse"), 6).alias("min_rmse"), F.round(F.max("rmse"), 6).alias("max_rmse"),
-                                  F.count(F.lit(1)).alias("n"))
+                                  F.count(F.lit(1)).alias("n"),
+                                  *[F.round(F.max(F.when(F.col("seed") == s, F.col("rmse"))), 6).alias(f"score_{s}") for s in _SEEDS])

@@ -128,6 +128,18 @@ def w10(spark, d):
     return O.elite_merge_report(c, ["cell_x", "cell_y"], "generation", "fitness")
 
 
+@register("w10_merged_elites", f"""
+WITH c AS (SELECT {_CELL('embedding[1]')} AS cell_x, {_CELL('embedding[2]')} AS cell_y, embedding[3] AS fitness, label AS generation, vec_id
+           FROM embeddings),
+b AS (SELECT *, row_number() OVER (PARTITION BY cell_x, cell_y ORDER BY fitness DESC, generation, vec_id) AS rn FROM c)
+SELECT cell_x, cell_y, fitness, generation, vec_id FROM b
+WHERE rn = 1 AND vec_id NOT IN (SELECT vec_id FROM c WHERE generation = (SELECT min(generation) FROM c))""")
+def w10_merged(spark, d):
+    """The merged elite grid; elites that are among the first generation's candidates are left out."""
+    c = _cells(spark, d).withColumnRenamed("label", "generation")
+    return O.merged_elites(c, ["cell_x", "cell_y"], "generation", "fitness", "vec_id")
+
+
 _IMP_FEATS = ["l_quantity", "l_extendedprice", "l_tax", "run", "agent1_idx", "agent2_idx"]
 
 

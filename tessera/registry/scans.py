@@ -98,12 +98,8 @@ SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme,
 FROM pages""")
 def s8(spark, d):
     p = S.table(spark, d, "pages")
-    u = F.col("url")
-    seg = F.regexp_extract(u, r"/([^/?#]*)(?:[?#].*)?$", 1)
-    return p.select("page_id", F.regexp_extract(u, r"^([a-z]+)://", 1).alias("scheme"),
-                    F.regexp_extract(u, r"^[a-z]+://([^/?#]+)", 1).alias("host"),
-                    F.regexp_extract(u, r"^[a-z]+://[^/]+/([a-z]{2})/", 1).alias("lang"),
-                    F.regexp_replace(seg, r"\.[^.]*$", "").alias("stem"))
+    keys = S.url_keys(F.col("url"))
+    return p.select("page_id", *[c.alias(n) for n, c in keys.items()])
 
 
 _PACKED = {"F": "1.0;-1.0", "O": "0.0;0.0", "P": "-1.0;1.0"}

@@ -12,7 +12,7 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # a partition is "skewed" once it is 4x the median and above 64 MB
+    # a partition is "skewed" once it is 4x the median and above Spark's own size threshold
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
     "spark.sql.session.timeZone": "UTC",

@@ -100,7 +100,7 @@ def url_keys(url: Column) -> dict[str, Column]:
         "scheme": F.regexp_extract(url, r"^([a-z]+)://", 1),
         "host": F.regexp_extract(url, r"^[a-z]+://([^/?#]+)", 1),
         "lang": F.regexp_extract(url, r"^[a-z]+://[^/]+/([a-z]{2})/", 1),
-        "stem": file_stem(F.regexp_extract(url, r"^[a-z]+://[^?#]*?([^/?#]*)([?#].*)?$", 1)),
+        "stem": file_stem(F.regexp_extract(url, r"/([^/?#]*)(?:[?#].*)?$", 1)),
     }
 
 
