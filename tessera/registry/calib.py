@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions.hashing import hash_int, sql_hash_int, sql_uniform
 from tessera.operators import augment as G
 from tessera.operators import calib as K
+from tessera.operators.scaleclip import scale_clip_box
 from tessera.operators.aggs import two_sided
 from tessera.operators.folds import group_fold_table, group_kfold
 from tessera.operators.ordered import average_rank, dedup_first
@@ -96,6 +97,13 @@ def m17(spark, d):
     return r.select("fold", "coef", "mag", F.round("test_rmse", 6).alias("test_rmse"))
 
 
+@register("m17_scale_clip_box")
+def m17_box(spark, d):
+    """Scale-and-clip with the optimum over all of coef in [0.9, 1.2] and mag in [0.5, 1] for each fold's training rows."""
+    r = scale_clip_box(_pf(spark, d), "p1", "y", "fold", 5)
+    return r.select("fold", *[F.round(c, 6).alias(c) for c in ("coef", "mag", "train_loss", "test_rmse")])
+
+
 def _wdl(spark, d):
     m = matches(spark, d)
     return m.groupBy("game").agg(F.count_if(F.col("outcome") == 1).alias("wins"),
