@@ -22,7 +22,8 @@ _OP1_SQL = f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
     greatest(0.05, 1.0::DOUBLE - 4.0::DOUBLE * ((length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#$%&*|!', '')))::DOUBLE
       / greatest(length(coalesce(text, '')), 1)::DOUBLE)) AS weight,
-    (('0x' || substr(md5('{mixing.SEED}|' || coalesce(doc_id::VARCHAR, '') || '|0'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+    (('0x' || substr(md5('{mixing.SEED}|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')) || '|'
+      || (row_number() OVER (PARTITION BY source, doc_id, coalesce(text, '')) - 1)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ([5.0, 2.0, 1.0])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, source_size::DOUBLE * 3.0 AS cap FROM s),
@@ -30,7 +31,7 @@ l AS (SELECT *, cap / w AS cut, ((SELECT sum(source_size) FROM s)::DOUBLE - coal
       / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, source_size, coalesce(least((SELECT arg_min(level, cut) FROM l WHERE level <= cut) * w, cap), cap) AS target FROM l),
 k AS (SELECT d.doc_id, d.size, t.source_size, t.target,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(u) / weight, coalesce(d.doc_id::VARCHAR, ''), d.size) - d.size AS before,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(u) / weight, coalesce(d.doc_id::VARCHAR, ''), d.size, u) - d.size AS before,
     CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS epochs
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size::BIGINT AS size, source_size, target,

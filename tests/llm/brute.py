@@ -101,16 +101,19 @@ def targets(sizes, weights=(5.0, 2.0, 1.0), cap=3.0):
 
 
 def taken(rows, weights=(5.0, 2.0, 1.0), cap=3.0, seed=4201):
-    """rows: (id, source, size, weight) -> words taken of each."""
+    """rows: (id, source, size, weight, text) -> words taken of each."""
     sizes = Counter()
-    for _, s, n, _ in rows:
+    for _, s, n, _, _ in rows:
         sizes[s] += n
     goal, out = targets(sizes, weights, cap), {}
     for source in sizes:
-        mine = []
-        for i, (key, s, n, q) in enumerate(rows):
+        mine, seen = [], Counter()
+        for i, (key, s, n, q, text) in enumerate(rows):
             if s == source:
-                u = (int(hashlib.md5(f"{seed}|{'' if key is None else key}|0".encode()).hexdigest()[:13], 16) + 0.5) / 2 ** 52
+                mark = hashlib.md5((text or "").encode()).hexdigest()
+                drawn = f"{seed}|{'' if key is None else key}|{mark}|{seen[key, mark]}"
+                seen[key, mark] += 1
+                u = (int(hashlib.md5(drawn.encode()).hexdigest()[:13], 16) + 0.5) / 2 ** 52
                 mine.append((-math.log(u) / q, "" if key is None else str(key), n, i))
         epochs = math.floor(goal[source] / sizes[source]) if sizes[source] else 0
         left, before = goal[source] - epochs * sizes[source], 0

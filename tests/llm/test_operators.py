@@ -50,7 +50,7 @@ def bag(x):
 def test_mixing(docs, rows):
     size = [len(brute.words(t)) for _, t, _ in rows]
     weight = [max(0.05, 1.0 - 4.0 * (sum(c in "#$%&*|!" for c in t or "") / max(len(t or ""), 1))) for _, t, _ in rows]
-    want = brute.taken([(i, s, n, q) for (i, _, s), n, q in zip(rows, size, weight)])
+    want = brute.taken([(i, s, n, q, t) for (i, t, s), n, q in zip(rows, size, weight)])
     got = mixing.mix(docs, mixing.word_count(), mixing.symbol_weight())
     assert bag(zip([r[0] for r in rows], size, want)) == bag((r.doc_id, r.size, r.taken) for r in got.collect())
     sums = got.groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("k"), F.max("size").alias("m"))
@@ -71,6 +71,19 @@ def test_mixing_splits_hot_ids(spark):
     assert all(abs(k - t) <= 1.5 for _, k, t in got.values())
 
 
+def test_mixing_agrees_however_the_rows_are_split(spark):
+    """6,000 rows without an id, some of them equal beyond a cell, in 3, 11 and 1 parts: one result, that of the brute force."""
+    rows = [(None, f"word {i % 40} " + "x " * (i % 5) if i % 3 else "one hot text", "s" if i % 4 else None) for i in range(6000)]
+    size = [len(brute.words(t)) for _, t, _ in rows]
+    want = brute.taken([(i, s, n, 1.0, t) for (i, t, s), n in zip(rows, size)])
+    want = bag((t, s, k) for (_, t, s), k in zip(rows, want))
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for parts in (3, 11, 1):
+        for cell_rows in (64, 2048):
+            m = mixing.mix(d.repartition(parts), mixing.word_count(), F.lit(1.0), cell_rows=cell_rows)
+            assert bag((r.text, r.source, r.taken) for r in m.select("text", "source", "taken").collect()) == want
+
+
 def test_suffix_dedup(docs, rows):
     want = brute.without_repeats([t for _, t, _ in rows], 400)
     got = suffixdedup.remove_repeats(docs, length=400)
