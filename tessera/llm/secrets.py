@@ -1,23 +1,27 @@
 """Secret scans with multipart credential linking.
 
 Base spans (assign, access, hex) are found by their patterns in whole texts.
-Two weaker kinds are kept only as parts of a credential: a ``secret`` candidate
-(a mixed token of 32 characters or more) and an ``endpoint`` (a URL with a host, or
-a host with a port).  A scope is the stretch of ``reach`` characters around a
-span, within its paragraph block (text between blank lines).  The interval
-join of access identifiers, secret candidates and endpoints by overlapping
-scopes reports a secret candidate only if an access identifier is in scope,
-and an endpoint only if both an access identifier or an assignment and a
-secret (base or candidate) are.  Positions are code points, ends exclusive.
+Three weaker kinds are kept only as parts of a credential: a ``login`` (a user
+or client name assigned by key), a ``secret`` candidate (a mixed token of 32
+characters or more) and an ``endpoint`` (a URL with a host, or a host with a
+port).  A scope is the stretch of ``reach`` characters around a span, within
+its paragraph block (text between blank lines).  Identifiers are access spans
+and logins; secrets are assignments, hex spans and candidates.  The interval
+join by overlapping scopes reports a login only if an assignment or hex span is
+in scope, a secret candidate only if an access identifier is, and an endpoint
+only if an identifier and a secret are, which must be spans apart: an
+assignment of an access identifier is no secret, and one lone assignment no
+credential.  Positions are code points, ends exclusive.
 
 The join is a sorted sweep within each text: a part looks up the nearest
 complementary starts, so a text with many parts costs n log n, and no pairs
-are listed.  Texts are scanned whole, one row at a time, without a shuffle.
+are listed.  Patterns start once in a run of their characters and do not back
+up, so that scanning is linear in the text.  Texts are scanned whole, one row at a time, without a shuffle.
 
 Nulls are empty texts, and empty texts have no spans.  Repeated rows get equal
 results, empty tables empty ones; every further column goes along, and columns
 of the input named like the result's (spans, n_assign, n_access, n_hex,
-base_sha256, n_secret, n_endpoint) are replaced.
+base_sha256, n_login, n_secret, n_endpoint) are replaced.
 """
 
 from __future__ import annotations
@@ -36,10 +40,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # AKIA[A-Z0-9]+ of 20 or more
 HEX = re.compile(r"[0-9a-f]{24,}")
 SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=-])")  # a key name and = may stand before
-ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?(?:/[^\s\"'<>]*)?|\b(?:[a-z0-9-]+\.)+[a-z]{2,}:[0-9]{2,5}\b")
+LOGIN = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:_?name|_?id)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}+""", re.I | re.A)
+ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]++(?::[0-9]{1,5})?(?:/[^\s\"'<>]*+)?|(?<![\w.-])([a-z0-9.-]++):[0-9]{2,5}\b")
+HOST = re.compile(r"(?:[a-z0-9-]+\.)+[a-z]{2,}")
 BLANK = re.compile(r"\n[ \t]*\n")
 BASE = ("assign", "access", "hex")
-RESULT = "n_assign long, n_access long, n_hex long, n_secret long, n_endpoint long, base_sha256 string, spans string"
+WEAK = ("login", "secret", "endpoint")
+RESULT = "n_assign long, n_access long, n_hex long, n_login long, n_secret long, n_endpoint long, base_sha256 string, spans string"
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -72,23 +79,40 @@ class _Scopes:
         return False
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """URLs with a host, and hosts with a port: of a run of host characters, what stands after its last empty label."""
+    found = []
+    for m in ENDPOINT.finditer(text):
+        start = m.start()
+        if m[1] is not None:
+            host = m[1][m[1].rfind("..") + 2 if ".." in m[1] else 0:].lstrip(".-")
+            if not HOST.fullmatch(host):
+                continue
+            start = m.end(1) - len(host)
+        found.append((start, m.end()))
+    return found
+
+
 def linked_spans(text: str, base, reach: int = REACH) -> list[tuple[int, int, str]]:
     """Weak candidates whose complementary parts are in scope."""
-    access = [(s, e) for s, e, k in base if k == "access"]
-    assign = [(s, e) for s, e, k in base if k == "assign"]
-    if not access and not assign:
+    if not base:
         return []
     cuts = [m.end() for m in BLANK.finditer(text)]
     block = lambda p: bisect.bisect_right(cuts, p)
-    taken = [(s, e) for s, e, _ in base]
-    covered = _Scopes(taken, lambda p: 0, -1)
-    ids = _Scopes(access, block, reach)
+    anywhere = lambda p: 0
+    scopes = lambda spans: _Scopes(spans, block, reach)
+    covered = _Scopes([(s, e) for s, e, _ in base], anywhere, -1)
+    access = [(s, e) for s, e, k in base if k == "access"]
+    of_access = _Scopes(access, anywhere, -1)
+    known = [(s, e) for s, e, k in base if k != "access" and not of_access.near(s, e)]
+    ids, keys = scopes(access), scopes(known)
+    logins = [(m.start(), m.end()) for m in LOGIN.finditer(text)] if known else []
+    logins = [x for x in logins if not covered.near(*x) and keys.near(*x)]
     secrets = [(m.start(), m.end()) for m in SECRET.finditer(text) if _mixed(m[0])] if access else []
     secrets = [x for x in secrets if not covered.near(*x) and ids.near(*x)]
-    keys, parts = _Scopes(access + assign, block, reach), _Scopes(assign + secrets, block, reach)
-    ends = [(m.start(), m.end()) for m in ENDPOINT.finditer(text)]
-    ends = [x for x in ends if keys.near(*x) and parts.near(*x)]
-    return [(s, e, "secret") for s, e in secrets] + [(s, e, "endpoint") for s, e in ends]
+    ids, keys = scopes(access + logins), scopes(known + secrets)
+    ends = [x for x in endpoints(text) if ids.near(*x) and keys.near(*x)] if ids.at and keys.at else []
+    return [(*x, kind) for kind, spans in zip(WEAK, (logins, secrets, ends)) for x in spans]
 
 
 def _join(spans) -> str:
@@ -99,7 +123,7 @@ def scan_text(text: str | None, reach: int = REACH) -> tuple:
     base = base_spans(text or "")
     more = linked_spans(text or "", base, reach)
     kinds = [k for _, _, k in base] + [k for _, _, k in more]
-    order = (*BASE, "secret", "endpoint")
+    order = (*BASE, *WEAK)
     spans = sorted(base + more, key=lambda x: (x[0], order.index(x[2])))
     return (*(kinds.count(k) for k in order), hashlib.sha256(_join(base).encode()).hexdigest(), _join(spans))
 
