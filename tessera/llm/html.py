@@ -13,9 +13,11 @@ Both potentials are trained from labelled pages: a bounded sample (``PAGES``)
 of pages that mark up their article themselves (article, main, or itemprop
 articleBody).  There, text is content inside that element and outside of
 elements named as something else (nav, footer, aside, form, comments and so
-on).  Counts of labels by feature and by parent-child kind are summed on Spark
-over those pages and smoothed with the pseudo-counts in ``START``, which also
-stand alone where no page is marked up.
+on).  A third of those pages is read without the marks of the article, and a
+third without any names, so that tags, links, lengths and sentence marks learn
+to tell an article where names do not.  Counts of labels by feature and by
+parent-child kind are summed on Spark over those pages and smoothed with the
+pseudo-counts in ``START``, which also stand alone where no page is marked up.
 
 Text: character references are decoded; white space in a block becomes one
 space and ends are trimmed; blocks are joined in page order by one newline.
@@ -33,6 +35,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,8 +46,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import drawn
 
 PAGES = 2_000
-#: The sample counts as so many pages beside the pseudo-counts: it comes from few site designs, and must not outvote them.
-WEIGHT = 3.0
+#: The sample counts as at most so many pages beside the pseudo-counts, as it may come from few site designs.
+WEIGHT = 200.0
 #: How HTML elements behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg select option button datalist object canvas".split())
@@ -68,20 +71,23 @@ MAIN = frozenset("article main content post story entry articlebody body text pr
 ARTICLE = frozenset(("article", "main"))
 CUE = re.compile(r"[a-z]+")
 WITH = re.compile(r"(?:with|has|no)[-_][a-z]+")  # a page with a sidebar is not one
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                 r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A quote opens a value only after the equals sign; one that never closes is part of an unquoted value.
+VALUE = r"\"[^\"]*+\"|'[^']*+'|[^ \t\n\r\f>]*+"
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)"
+                 rf"((?:[ \t\n\r\f/]++|[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:{VALUE}))?+)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(rf"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+({VALUE}))?+", re.S)
 MAY_HIDE = re.compile("hidden|style", re.I)
 COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 
 
 def named(attributes: str) -> list[tuple[str, str]]:
     """The names, in lower case, and values of a tag's attributes; a bare one has the empty value."""
-    return [(name.lower(), a or b or c) for name, a, b, c in ATTRIBUTE.findall(attributes)]
+    bare = lambda v: v[1:-1] if len(v) > 1 and v[0] in "\"'" and v[-1] == v[0] else v
+    return [(name.lower(), bare(value)) for name, value in ATTRIBUTE.findall(attributes)]
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "other", "main", "marked", "region", "own", "linked", "text", "depth", "marginal", "stops")
+    __slots__ = ("tag", "parent", "kids", "other", "main", "marked", "region", "own", "linked", "text", "depth", "marginal", "stops", "holds")
 
     def __init__(self, tag: str, parent: "Node | None", attributes: str = ""):
         cues: set[str] = set()
@@ -94,7 +100,7 @@ class Node:
         self.marked = tag in ARTICLE or "articlebody" in cues
         self.main = self.marked or not MAIN.isdisjoint(cues)
         self.own = self.linked = self.text = self.stops = 0
-        self.region, self.marginal = "plain", 0.0
+        self.region, self.marginal, self.holds = "plain", 0.0, False
         self.depth = parent.depth + 1 if parent else 0
 
 
@@ -130,6 +136,25 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     links = 0  # depth of open <a>
     skip, skipped = "", 0
     pos, end = 0, len(page)
+    opened: Counter = Counter()  # open elements by tag, and by tag within their scope: walks up end where they must
+    scopes = [root]
+
+    def enter(x: Node) -> None:
+        nonlocal at
+        at = x
+        opened[x.tag] += 1
+        opened[id(scopes[-1]), x.tag] += 1
+        if x.tag in SCOPE:
+            scopes.append(x)
+
+    def leave(to: Node) -> None:
+        nonlocal at
+        while at is not to:
+            if at.tag in SCOPE:
+                scopes.pop()
+            opened[at.tag] -= 1
+            opened[id(scopes[-1]), at.tag] -= 1
+            at = at.parent
 
     def home(attributes: str = "") -> Node:
         """The body, which pages may leave out or close too early."""
@@ -140,12 +165,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         return body
 
     def flush():
-        nonlocal at
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                at = home() if at is root else at
+                if at is root:
+                    enter(home())
                 blocks.append((at, text))
                 at.own += len(text)
                 at.stops += sum(map(text.count, ".!?…。"))
@@ -181,8 +206,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             if tag not in INLINE and tag not in ("button", "select", "svg"):
                 flush()
             if tag in RAW_TEXT:  # no markup inside
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-                pos = close.end() if close else end
+                close = re.compile(rf"</{re.escape(tag)}(?=[ \t\n\r\f/>])", re.I).search(page, pos)
+                pos = TAG.match(page, close.start()).end() if close else end
             else:
                 skip, skipped = tag, 1
             continue
@@ -194,40 +219,42 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             continue
         flush()
         if closing:
-            x = at
-            while x.parent and x.tag != tag:
-                x = x.parent
-            if x.parent:
-                at, links = x.parent, 0
+            if opened[tag] > 0:
+                x = at
+                while x.tag != tag:
+                    x = x.parent
+                leave(x.parent)
+                links = 0
             continue
         if tag in ("html", "head", "hr") or tag in VOID:
             continue
         if tag == "body" or at is root:
             new = body is None
-            at = home(rest if tag == "body" else "") if new or at is root else at
+            inside = home(rest if tag == "body" else "")
+            if at is root:
+                enter(inside)
             if tag == "body":
                 links = 0 if new else links
                 continue
-        shut = ITEMS.get(tag, ())
-        x = at
         if tag in CLOSES_P and at.tag == "p":
-            at = at.parent
-        while shut and x.parent and x.tag not in SCOPE:
-            if x.tag in shut:
-                at = x.parent
+            leave(at.parent)
+        shut = ITEMS.get(tag, ())
+        x, left = at, sum(opened[id(scopes[-1]), t] for t in shut)
+        while left > 0:  # up to the outermost in this scope that it closes
+            left -= x.tag in shut
             x = x.parent
+        if x is not at and shut:
+            leave(x)
         links = 0
         at.kids.append(node := Node(tag, at, rest))
         nodes.append(node)
-        at = node
+        enter(node)
     flush()
-    for x in nodes:  # what holds a marked article is not a side part, whatever its name
-        up = x.parent if x.marked else None
-        while up:
-            up.other, up = False, up.parent
-    for x in nodes:
-        above = x.parent.region if x.parent else "plain"
-        x.region = ("main" if x.marked else "other" if x.other or above == "other" else "main" if x.main else above)
+    for x in reversed(nodes):  # what holds a marked article is not a side part, whatever its name
+        x.holds = x.holds or x.marked
+        if x.parent and x.holds:
+            x.parent.other, x.parent.holds = False, True
+    set_regions(nodes)
     for x in reversed(nodes):
         x.text += x.own
         if x.parent:
@@ -237,6 +264,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     return nodes, blocks
 
 
+def set_regions(nodes: list[Node], hide: str = "") -> None:
+    """What the nearest named element at or above each node is; hiding "marks" passes over the article's own, "names" over all."""
+    for x in nodes:
+        above = x.parent.region if x.parent else "plain"
+        marked = x.marked and not hide
+        x.region = ("plain" if hide == "names" else "main" if marked else "other" if x.other or above == "other"
+                    else "main" if x.main and not x.marked else above)
+
+
 def features(x: Node) -> list[str]:
     size = x.text
     tag = ("p" if x.tag in ("p", "pre", "blockquote") else "h" if re.fullmatch("h[1-6]", x.tag) else "list" if x.tag in ("ul", "ol", "li", "dl", "dd", "dt")
@@ -269,10 +305,17 @@ START = {"tag=p": (6, 3), "tag=h": (3, 3), "tag=list": (2, 4), "tag=table": (2,
          ("other", 1, 1): 1, ("other", 1, 0): 60, ("other", 0, 0): 900, ("other", 0, 1): 1}
 
 
+def hidden_part(page: str) -> str:
+    """What a page of the sample hides, to teach what an article is like where less tells it: nothing, its marks, or all names."""
+    return ("", "marks", "names")[zlib.crc32(page.encode("utf-8", "replace")) % 3]
+
+
 def page_counts(page: str | None) -> Counter:
     nodes, _ = parse(page or "")
     label = truth(nodes)
     seen: Counter = Counter()
+    if label:
+        set_regions(nodes, hidden_part(page))
     for x in nodes if label else ():
         if not x.text or not x.parent:
             continue
@@ -328,8 +371,11 @@ class Model:
             top = max(b)
             x.marginal = math.exp(b[1] - top) / (math.exp(b[0] - top) + math.exp(b[1] - top))
 
-    def extract(self, page: str | None) -> str:
+    def extract(self, page: str | None, hide: str = "") -> str:
+        """The main text; ``hide`` reads the page without its marks or names, to measure what was learned."""
         nodes, blocks = parse(page or "")
+        if hide:
+            set_regions(nodes, hide)
         self.marginals(nodes)
         return "\n".join(text for node, text in blocks if node.marginal >= 0.5)
 
