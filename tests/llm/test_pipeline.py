@@ -40,7 +40,7 @@ def test_stages(spark):
     key = [None if i != i else int(i) for i in d3["doc_id"]]
     src = [None if s != s else s for s in d3["source"]]
     want = Counter()
-    for i, n, k in zip(key, size, brute.taken(list(zip(key, src, size, weight)))):
+    for i, n, k in zip(key, size, brute.taken(list(zip(key, src, size, weight, d3["text"])))):
         if k:
             want[i] += k // n
     assert want == Counter(None if i != i else int(i) for i in d4["doc_id"])
