@@ -8,8 +8,9 @@ from tessera.operators import gram as G
 from tessera.operators import learn as L
 from tessera.operators.folds import group_kfold
 from tessera.operators.isotonic import isotonic_cv
-from tessera.functions.hashing import sql_hash_int
-from tessera.plans.fixtures import PREDICTIONS_SQL, matches, predictions
+from tessera.functions.hashing import sql_hash_int, sql_uniform
+from tessera.operators.quantiles import apply_quantiles, gauss, quantile_knots
+from tessera.plans.fixtures import PREDICTIONS_SQL, matches, predictions, row_key, ROW_KEY_SQL
 from tessera.registry import register
 from tessera.sources.sinks import stored
 from tessera.session import fresh_path
@@ -42,6 +43,27 @@ def m2n(spark, d):
     return L.quantile_normal(li, "l_extendedprice").drop("l_extendedprice")
 
 
+@register("m2_quantile_folds", f"""WITH d AS (SELECT {ROW_KEY_SQL} AS row_id, l_extendedprice AS x, {sql_hash_int(29, ROW_KEY_SQL)} % 5 AS fold,
+    l_extendedprice + 1e-5::DOUBLE * (sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {sql_uniform("31a", ROW_KEY_SQL)}))
+      * cos(2.0::DOUBLE * pi() * {sql_uniform("31b", ROW_KEY_SQL)})) AS v FROM lineitem),
+t AS (SELECT f.f, v, row_number() OVER (PARTITION BY f.f ORDER BY v, row_id) - 1 AS p FROM d JOIN range(5) f(f) ON d.fold <> f.f),
+n AS (SELECT f, count(*) AS n, least(count(*), greatest(least(count(*) // 30, 1000), 10)) AS k FROM t GROUP BY f),
+w AS (SELECT f, j, k, (j * (n - 1)) // (k - 1) AS lo, ((j * (n - 1)) % (k - 1))::DOUBLE / (k - 1) AS share FROM n, unnest(range(k)) u(j)),
+q AS (SELECT w.f, j, k, a.v + coalesce((b.v - a.v) * share, 0) AS q FROM w JOIN t a ON a.f = w.f AND a.p = w.lo
+      LEFT JOIN t b ON b.f = w.f AND b.p = w.lo + 1),
+g AS (SELECT f, q, k, min(j) AS j0, max(j) AS j1, lead(q) OVER (PARTITION BY f ORDER BY q) AS up FROM q GROUP BY f, q, k)
+SELECT row_id, d.fold::INT AS fold, round(CASE WHEN g.q IS NULL OR j0 = 0 AND x = g.q THEN 0.0 WHEN up IS NULL THEN 1.0
+    WHEN x = g.q THEN (j0 + j1) / 2.0::DOUBLE / (k - 1) ELSE (j1 + (x - g.q) / (up - g.q)) / (k - 1) END, 6) AS price_q
+FROM d ASOF LEFT JOIN g ON d.fold = g.f AND d.x >= g.q""")
+def m2_folds(spark, d):
+    """Quantile transform fitted with jitter on the other folds' rows and applied to each fold's own."""
+    li = table(spark, d, "lineitem").select(row_key().alias("row_id"), F.col("l_extendedprice").alias("x"))
+    li = li.withColumn("fold", (hash_int(29, F.col("row_id")) % 5).cast("int"))
+    knots = quantile_knots(li, "x", "fold", 5, ["row_id"], 1e-5 * gauss(31, F.col("row_id")))
+    q = apply_quantiles(li, "x", "fold", knots, "price_q")
+    return q.select("row_id", "fold", F.round("price_q", 6).alias("price_q"))
+
+
 @register("m3_standardize", """
 SELECT c_custkey, round((c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_pop(c_acctbal) FROM customer), 6)
   AS c_acctbal_z FROM customer""")
