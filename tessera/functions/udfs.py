@@ -1,7 +1,5 @@
 """The few Arrow-batched Python helpers: per-row logic that
-has no built-in expression — balanced-parenthesis spans, bracket-aware
-pretty printing, inverse normal CDF, Student-t tail probability and
-linear interpolation on a model-sized knot table.  Each is a small
+has no built-in expression — inverse normal CDF and Student-t tail probability.  Each is a small
 function applied by Spark to Arrow batches; Spark partitions the work."""
 
 from __future__ import annotations
@@ -9,74 +7,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
-
-SPAN = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
-
-
-def paren_spans_py(text: str) -> list[tuple[int, int]]:
-    """Every balanced ``(...)``: 1-based start of '(' and end of ')'."""
-    out, stack = [], []
-    for i, ch in enumerate(text or ""):
-        if ch == "(":
-            stack.append(i)
-        elif ch == ")" and stack:
-            out.append((stack.pop() + 1, i + 1))
-    out.sort()
-    return out
-
-
-@F.pandas_udf(SPAN)
-def paren_spans(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"start": s, "end": e} for s, e in paren_spans_py(t)])
-
-
-LINE_LIMIT = 200
-
-
-def pretty_py(section: str, indent: int = 0) -> str:
-    """Bracket-aware layout: the head of an expression stays on its line,
-    each top-level child expression goes on its own line one tab deeper;
-    a child longer than LINE_LIMIT visible characters is laid out the same
-    way.  Only whitespace is added or changed."""
-    s = section.strip()
-    if s.count("(") <= 1 or not s.startswith("("):
-        return "\t" * indent + s
-    depth, start, parts, head_end = 0, None, [], None
-    for i, ch in enumerate(s):
-        if ch == "(":
-            depth += 1
-            if depth == 2:
-                if head_end is None:
-                    head_end = i
-                start = i
-        elif ch == ")":
-            if depth == 2 and start is not None:
-                parts.append((start, i + 1))
-                start = None
-            depth -= 1
-    if not parts:
-        return "\t" * indent + s
-    lines = ["\t" * indent + s[:head_end].rstrip()]
-    prev = head_end
-    for a, b in parts:
-        gap = s[prev:a].strip()
-        if gap:
-            lines.append("\t" * (indent + 1) + gap)
-        child = s[a:b]
-        if len("".join(child.split())) > LINE_LIMIT:
-            lines.append(pretty_py(child, indent + 1))
-        else:
-            lines.append("\t" * (indent + 1) + child)
-        prev = b
-    tail = s[prev:].strip()
-    lines.append("\t" * indent + tail)
-    return "\n".join(lines)
-
-
-@F.pandas_udf(StringType())
-def pretty(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: pretty_py(t) if t is not None else None)
+from pyspark.sql.types import DoubleType
 
 
 def _norm_ppf(p: np.ndarray) -> np.ndarray:

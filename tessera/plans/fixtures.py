@@ -130,3 +130,27 @@ def with_ctes(body: str, **ctes: str) -> str:
     if not ctes:
         return body
     return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in ctes.items()) + "\n" + body
+
+
+# Tags that pages leave unclosed become spaces; all others are brackets.
+_WORD_TAGS = r"</?(?:p|b|br|hr|img|meta|link|input|td|tr|th)(?:[ /][^>]*)?>"
+_NO_TREE = r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<![^>]*>"
+_TAGS = ((_NO_TREE, " "), (_WORD_TAGS, " "), (r"</[^>]*>", ")"), (r"<([a-z0-9]+)[^>]*>", r"(\1 "), (r"\s+", " "))
+
+
+def expressions(spark: SparkSession, d: str) -> DataFrame:
+    """Bracketed expressions: a page's elements as ``(name ...)``, minified (expr_id, expression)."""
+    x = F.translate("html", "()", "[]")
+    for pattern, new in _TAGS:
+        x = F.regexp_replace(x, pattern, new.replace("\\1", "$1"))
+    return table(spark, d, "pages").select(F.col("page_id").alias("expr_id"), F.trim(x).alias("expression"))
+
+
+def _sql_tags() -> str:
+    x = "translate(html, '()', '[]')"
+    for pattern, new in _TAGS:
+        x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
+    return x
+
+
+EXPRESSIONS_SQL = f"SELECT page_id AS expr_id, trim({_sql_tags()}) AS expression FROM pages"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from conftest import SMALL
-from tessera.functions.udfs import paren_spans_py, pretty_py, t_two_sided_p, _norm_ppf
+from tessera.functions.udfs import t_two_sided_p, _norm_ppf
 from tessera.operators import folds as W
 from tessera.operators import joins as J
 from tessera.operators import learn as L
@@ -77,26 +77,10 @@ def test_weighted_bucket_shares(spark):
     assert abs(share - 0.75) < 0.03
 
 
-def test_spans_and_fim_reconstruct(spark):
-    assert paren_spans_py("a(b(c)d)e(") == [(2, 8), (4, 6)]
-    pages = table(spark, SMALL, "pages").withColumn("idx", F.col("page_id"))
-    from tessera.operators.text import fim_samples
-    f = fim_samples(pages, "page_id", "html", 2, 41, 5, 0, "idx").join(pages.select("page_id", "html"), "page_id")
-    bad = f.where(F.concat("prefix", "middle", "suffix") != F.col("html")).count()
-    assert f.count() > 0 and bad == 0
-    assert f.where(~F.col("middle").startswith("(") | ~F.col("middle").endswith(")")).count() == 0
-
-
-def test_pretty_roundtrip():
-    s = "(game \"X\" (players 2) (equipment {(board (square 3)) (piece \"Disc\" Each)}) (rules (play (move Add))))"
-    p = pretty_py(s)
-    assert "".join(p.split()) == "".join(s.split())
-    assert p.count("\n") >= 3
-
-
 def test_pretty_query_roundtrip(spark):
     out = Q["p20_pretty_roundtrip"](spark, SMALL)
     assert out.where("NOT roundtrip_ok").count() == 0
+    assert out.where("laid_out AND n_lines > 10").count() > 0
 
 
 def test_t_pvalue_and_ppf():

@@ -12,7 +12,7 @@ sys.path.insert(0, {ROOT!r})  # the driver's path only
 import __spark_entry__ as e
 from tessera.session import get_spark
 s = get_spark("local[2]", 4)
-for name in ("p21_paren_spans", "a19_welch_pvalue"):
+for name in ("m2_quantile_normal", "a19_welch_pvalue"):
     print(name, e.queries()[name](s, {SMALL!r}).count())
 """
 
