@@ -14,7 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import uniform
@@ -89,18 +89,25 @@ def kmeans(df: DataFrame, vec_col: str, k: int, seed: int = 7, bisecting: bool =
 
 
 def cluster_diagnostics(df: DataFrame, cluster: str, arr: str) -> DataFrame:
-    """M7 — per cluster: mean of each row's (population) std over its
-    non-null values and mean number of NULL values per row; rows without
-    any value have no std and count in ``n`` and ``mean_nulls``."""
+    """M7 — per cluster and for the rows outside it (``out_``): mean of each
+    row's (population) std over its non-null values and mean number of NULL
+    values per row; rows without any value have no std and count in ``n``
+    and ``mean_nulls``.  The outside is the total less the cluster, summed
+    over the aggregate of clusters."""
     known = F.filter(arr, lambda v: v.isNotNull())  # as numpy's nanstd: over the values there are
     x = df.withColumn("_k", known).withColumn("_m", F.aggregate("_k", F.lit(0.0), lambda a, x: a + x) / F.size("_k"))
     var = F.aggregate("_k", F.lit(0.0), lambda a, v: a + (v - F.col("_m")) * (v - F.col("_m"))) / F.size("_k")
     nulls = F.size(F.filter(arr, lambda v: v.isNull()))
-    return x.groupBy(cluster).agg(F.avg(F.sqrt(var)).alias("mean_row_std"), F.avg(nulls).alias("mean_nulls"),
-                                  F.count(F.lit(1)).alias("n"))
+    sums = x.groupBy(cluster).agg(F.sum(F.sqrt(var)).alias("_s"), F.count(F.sqrt(var)).alias("_c"),
+                                  F.sum(nulls).alias("_z"), F.count(F.lit(1)).alias("n"))
+    every = Window.partitionBy()  # a row a cluster
+    rest = {c: F.sum(c).over(every) - F.coalesce(c, F.lit(0)) for c in ("_s", "_c", "_z", "n")}
+    share = lambda a, b: F.when(b > 0, a / b)
+    return sums.select(cluster, share(F.col("_s"), F.col("_c")).alias("mean_row_std"), (F.col("_z") / F.col("n")).alias("mean_nulls"), "n",
+                       share(rest["_s"], rest["_c"]).alias("out_mean_row_std"), share(rest["_z"], rest["n"]).alias("out_mean_nulls"))
 
 
-def _fit_folds(folds: Sequence[int], fit_one):
+def fit_folds(folds: Sequence[int], fit_one):
     with ThreadPoolExecutor(max_workers=min(FIT_THREADS, len(folds))) as ex:
         return list(ex.map(fit_one, folds))
 
@@ -130,7 +137,7 @@ def grouped_cv(df: DataFrame, make_estimator, features: Sequence[str], label: st
         pred = model.transform(x.where(F.col(fold) == f)).select(row_id, fold, F.col("prediction"))
         return model, pred
 
-    results = _fit_folds(list(range(n_folds)), fit_one)
+    results = fit_folds(list(range(n_folds)), fit_one)
     oof = results[0][1]
     for _, p in results[1:]:
         oof = oof.unionByName(p)
@@ -140,6 +147,66 @@ def grouped_cv(df: DataFrame, make_estimator, features: Sequence[str], label: st
     return (oof, models) if keep_models else oof
 
 
+def stacked_cv(df: DataFrame, first, first_features: Sequence[str], second, features: Sequence[str], label: str,
+               fold: str, n_folds: int, row_id: str, residual: bool = False) -> DataFrame:
+    """M25 — (row_id, fold, stage1, prediction): the first model's out-of-fold prediction is a feature of the second, or,
+    with ``residual``, the second is fitted to what the first leaves and added to it."""
+    s1 = grouped_cv(df, first, first_features, label, fold, n_folds, row_id).select(row_id, F.col("prediction").alias("stage1"))
+    x = df.join(s1, row_id)
+    if not residual:
+        two = grouped_cv(x, second, [*features, "stage1"], label, fold, n_folds, row_id)
+        return two.join(s1, row_id).select(row_id, fold, "stage1", "prediction")
+    two = grouped_cv(x.withColumn("_left", F.col(label) - F.col("stage1")), second, features, "_left", fold, n_folds, row_id)
+    return two.join(s1, row_id).select(row_id, fold, "stage1", (F.col("stage1") + F.col("prediction")).alias("prediction"))
+
+
+def oof_features(df: DataFrame, bases: dict, features: Sequence[str], label: str, fold: str, n_folds: int, row_id: str) -> DataFrame:
+    """M26 — df with a column ``oof_<name>`` for the out-of-fold prediction of each base model."""
+    for name, make in bases.items():
+        p = grouped_cv(df, make, features, label, fold, n_folds, row_id)
+        df = df.join(p.select(row_id, F.col("prediction").alias(f"oof_{name}")), row_id)
+    return df
+
+
+def cv_rmse(df: DataFrame, make_estimator, features: Sequence[str], label: str, fold: str, n_folds: int, row_id: str) -> float:
+    """RMSE of the out-of-fold predictions, one number."""
+    p = grouped_cv(df, make_estimator, features, label, fold, n_folds, row_id)
+    return p.join(df.select(row_id, label), row_id).agg(F.sqrt(F.avg(F.pow(F.col(label) - F.col("prediction"), 2)))).first()[0]
+
+
+def refit_on_top(df: DataFrame, make_estimator, features: Sequence[str], targets: Sequence[str], fold: str, n_folds: int,
+                 row_id: str, top: int = 400):
+    """M27 — (out-of-fold table of every target, kept features by fold).
+
+    In each fold a model a target is fitted on all features; the ``top`` of them by importance summed over the targets
+    stay for all targets (ties: the earlier feature), and the models are fitted again on these.  The table has
+    row_id, fold and ``<target>_all`` and ``<target>_top``.
+    """
+    from pyspark.ml.feature import VectorSlicer
+    x = fit_frame(assemble(df, features).select(row_id, fold, *targets, "features"))
+
+    def one(f):
+        tr, te = x.where(F.col(fold) != f), x.where(F.col(fold) == f)
+        wide = {t: make_estimator().setFeaturesCol("features").setLabelCol(t).fit(tr) for t in targets}
+        weight = sum(m.featureImportances.toArray() for m in wide.values())
+        kept = sorted(np.argsort(-weight, kind="stable")[:top].tolist())
+        cut = VectorSlicer(inputCol="features", outputCol="kept", indices=kept)
+        tr, te = cut.transform(tr), cut.transform(te)
+        for t, m in wide.items():
+            again = make_estimator().setFeaturesCol("kept").setLabelCol(t).fit(tr)
+            te = m.setPredictionCol(f"{t}_all").transform(te)
+            te = again.setPredictionCol(f"{t}_top").transform(te)
+        return kept, te.select(row_id, fold, *[f"{t}_{w}" for t in targets for w in ("all", "top")])
+
+    found = fit_folds(range(n_folds), one)
+    oof = found[0][1]
+    for _, p in found[1:]:
+        oof = oof.unionByName(p)
+    oof = stored(oof, "oof")
+    x.unpersist()
+    return oof, [[features[i] for i in kept] for kept, _ in found]
+
+
 def fold_gram(df: DataFrame, fold: str, features: Sequence[str], label: str) -> dict[int, np.ndarray]:
     """Per-fold augmented Gram matrices [1, X, y]ᵀ[1, X, y] in one pass of block products
     (model-sized: (k+2)² numbers per fold)."""

@@ -101,6 +101,17 @@ FEATURES = {
     6: ("qty_tax_disc", "sum", ("l_quantity", "l_tax", "l_discount")),
     7: ("price_x_tax", "product", ("l_extendedprice", "l_tax")),
     8: ("price_over_qty_plain", "plain_ratio", ("l_extendedprice", "l_quantity")),
+    9: ("qty_per_price", "guarded_ratio", ("l_quantity", "l_extendedprice")),
+    10: ("price_per_tax", "guarded_ratio", ("l_extendedprice", "l_tax")),
+    11: ("price_per_disc", "guarded_ratio", ("l_extendedprice", "l_discount")),
+    12: ("qty_per_tax", "guarded_ratio", ("l_quantity", "l_tax")),
+    13: ("qty_per_disc", "guarded_ratio", ("l_quantity", "l_discount")),
+    14: ("tax_per_qty", "guarded_ratio", ("l_tax", "l_quantity")),
+    15: ("disc_per_qty", "guarded_ratio", ("l_discount", "l_quantity")),
+    16: ("tax_per_price", "guarded_ratio", ("l_tax", "l_extendedprice")),
+    17: ("disc_per_price", "guarded_ratio", ("l_discount", "l_extendedprice")),
+    18: ("line_per_qty", "guarded_ratio", ("l_linenumber", "l_quantity")),
+    19: ("line_qty_tax_disc", "sum", ("l_linenumber", "l_quantity", "l_tax", "l_discount")),
 }
 
 
@@ -110,7 +121,13 @@ SELECT {"concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHA
   l_extendedprice / (l_quantity + 1e-15) AS price_per_qty, l_tax / (l_discount + 1e-15) AS tax_per_disc,
   l_discount / (l_tax + 1e-15) AS disc_per_tax, l_tax + l_discount AS tax_plus_disc,
   l_quantity + l_tax + l_discount AS qty_tax_disc, l_extendedprice * l_tax AS price_x_tax,
-  CASE WHEN l_quantity = 0 THEN NULL ELSE l_extendedprice / l_quantity END AS price_over_qty_plain
+  CASE WHEN l_quantity = 0 THEN NULL ELSE l_extendedprice / l_quantity END AS price_over_qty_plain,
+  l_quantity / (l_extendedprice + 1e-15) AS qty_per_price, l_extendedprice / (l_tax + 1e-15) AS price_per_tax,
+  l_extendedprice / (l_discount + 1e-15) AS price_per_disc, l_quantity / (l_tax + 1e-15) AS qty_per_tax,
+  l_quantity / (l_discount + 1e-15) AS qty_per_disc, l_tax / (l_quantity + 1e-15) AS tax_per_qty,
+  l_discount / (l_quantity + 1e-15) AS disc_per_qty, l_tax / (l_extendedprice + 1e-15) AS tax_per_price,
+  l_discount / (l_extendedprice + 1e-15) AS disc_per_price, l_linenumber / (l_quantity + 1e-15) AS line_per_qty,
+  l_linenumber + l_quantity + l_tax + l_discount AS line_qty_tax_disc
 FROM lineitem""")
 def p8(spark, d):
     li = table(spark, d, "lineitem").withColumn(

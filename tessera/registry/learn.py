@@ -10,7 +10,9 @@ from tessera.operators.folds import group_kfold
 from tessera.operators.isotonic import isotonic_cv
 from tessera.functions.hashing import sql_hash_int, sql_uniform
 from tessera.operators.quantiles import apply_quantiles, gauss, quantile_knots
-from tessera.plans.fixtures import PREDICTIONS_SQL, matches, predictions, row_key, ROW_KEY_SQL
+from tessera.plans import reconcile as rc
+from tessera.plans import training as T
+from tessera.plans.fixtures import PREDICTIONS_SQL, matches, measurements, predictions, row_key, ROW_KEY_SQL
 from tessera.registry import register
 from tessera.sources.sinks import stored
 from tessera.session import fresh_path
@@ -89,13 +91,16 @@ def m6(spark, d):
 
 
 @register("m7_cluster_diagnostics", """
-SELECT label, round(avg(list_stddev_pop(embedding)), 6) AS mean_row_std,
-       round(avg(len(list_filter(embedding, lambda v: v IS NULL))), 6) AS mean_nulls, count(*) AS n
-FROM embeddings GROUP BY label""")
+WITH r AS (SELECT label, list_stddev_pop(embedding) AS s, len(list_filter(embedding, lambda v: v IS NULL)) AS z FROM embeddings)
+SELECT c.label, round(avg(r.s) FILTER (r.label = c.label), 6) AS mean_row_std, round(avg(r.z) FILTER (r.label = c.label), 6) AS mean_nulls,
+       count(*) FILTER (r.label = c.label) AS n, round(avg(r.s) FILTER (r.label <> c.label), 6) AS out_mean_row_std,
+       round(avg(r.z) FILTER (r.label <> c.label), 6) AS out_mean_nulls
+FROM (SELECT DISTINCT label FROM r) c, r GROUP BY c.label""")
 def m7(spark, d):
     r = L.cluster_diagnostics(table(spark, d, "embeddings"), "label", "embedding")
     return r.select("label", F.round("mean_row_std", 6).alias("mean_row_std"),
-                    F.round("mean_nulls", 6).alias("mean_nulls"), "n")
+                    F.round("mean_nulls", 6).alias("mean_nulls"), "n", F.round("out_mean_row_std", 6).alias("out_mean_row_std"),
+                    F.round("out_mean_nulls", 6).alias("out_mean_nulls"))
 
 
 def _cv_frame(spark, d):
@@ -191,52 +196,90 @@ def m24(spark, d):
     return r.select("outer_fold", "row_id", F.round("prediction", 6).alias("prediction"))
 
 
+#: The base features, their squares and their products.
+WIDE = FEATURES + [f"{a}*{b}" for i, a in enumerate(FEATURES) for b in FEATURES[i:]]
+
+
+def _wide(m):
+    pairs = [c.split("*") for c in WIDE[len(FEATURES):]]
+    return m.select("*", *[(F.col(a).cast("double") * F.col(b).cast("double")).alias(f"{a}*{b}") for a, b in pairs])
+
+
+def _stacked(spark, d, residual):
+    from pyspark.ml.regression import LinearRegression
+    return L.stacked_cv(_cv_frame(spark, d), LinearRegression, ["l_quantity", "l_tax", "agent1_idx"], _gbt, FEATURES, "utility",
+                        "fold", 5, "row_id", residual)
+
+
 @register("m25_stacking")
 def m25(spark, d):
-    """Stage-1 linear OOF (p1 → y) becomes a stage-2 GBT feature."""
-    from pyspark.ml.regression import LinearRegression
-    base = _cv_frame(spark, d)
-    s1 = L.grouped_cv(base, lambda: LinearRegression(), ["l_quantity", "l_tax", "agent1_idx"], "utility", "fold",
-                      5, "row_id").withColumnRenamed("prediction", "stage1")
-    x = base.join(s1.drop("fold"), "row_id")
-    return L.grouped_cv(x, _gbt, FEATURES + ["stage1"], "utility", "fold", 5, "row_id")
+    """The out-of-fold prediction of a linear model becomes a feature of the boosted trees."""
+    return _stacked(spark, d, False)
+
+
+@register("m25_residual_stacking")
+def m25_residual(spark, d):
+    """Boosted trees fitted to what the linear model's out-of-fold prediction leaves, and added to it."""
+    return _stacked(spark, d, True)
 
 
 @register("m26_oof_as_features")
 def m26(spark, d):
-    """CV RMSE with and without an OOF prediction column as a feature."""
-    from pyspark.ml.regression import LinearRegression
-    base = _cv_frame(spark, d)
-    oof = L.grouped_cv(base, lambda: LinearRegression(), ["agent1_idx", "agent2_idx"], "utility", "fold", 5,
-                       "row_id").withColumnRenamed("prediction", "oof_feature")
-    x = base.join(oof.drop("fold"), "row_id")
-    out = []
-    for name, feats in (("without", FEATURES), ("with", FEATURES + ["oof_feature"])):
-        o = L.grouped_cv(x, lambda: LinearRegression(), feats, "utility", "fold", 5, "row_id")
-        r = o.join(x.select("row_id", "utility"), "row_id").agg(
-            F.sqrt(F.avg(F.pow(F.col("utility") - F.col("prediction"), 2))).alias("rmse"))
-        out.append(r.select(F.lit(name).alias("variant"), "rmse"))
-    return out[0].unionByName(out[1])
+    """CV RMSE of a linear model without and with the out-of-fold predictions of a linear model, a tree and a forest as
+    features, each by itself and all together."""
+    from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
+    bases = {"linear": LinearRegression, "tree": lambda: DecisionTreeRegressor(maxDepth=5, seed=7),
+             "forest": lambda: RandomForestRegressor(numTrees=10, maxDepth=5, seed=7)}
+    x = stored(L.oof_features(_cv_frame(spark, d), bases, ["agent1_idx", "agent2_idx", "run"], "utility", "fold", 5, "row_id"), "with_oof")
+    variants = {"without": []} | {n: [f"oof_{n}"] for n in bases} | {"all": [f"oof_{n}" for n in bases]}
+    rows = [(v, L.cv_rmse(x, LinearRegression, FEATURES + more, "utility", "fold", 5, "row_id")) for v, more in variants.items()]
+    return spark.createDataFrame(rows, "variant string, rmse double")
 
 
 @register("m27_multi_target")
 def m27(spark, d):
-    """One regressor per target column, fitted from a thread pool; CV RMSE
-    per target."""
-    from pyspark.ml.regression import LinearRegression
-    base = _cv_frame(spark, d).withColumn("t_outcome", F.col("outcome").cast("double")) \
-                              .withColumn("t_discount", F.col("l_discount"))
-    feats = ["l_quantity", "l_extendedprice", "run", "agent1_idx", "agent2_idx"]
-    res = []
-    for t in ("utility", "t_outcome", "t_discount"):
-        o = L.grouped_cv(base, lambda: LinearRegression(), feats, t, "fold", 5, "row_id")
-        res.append(o.join(base.select("row_id", t), "row_id").agg(
-            F.sqrt(F.avg(F.pow(F.col(t) - F.col("prediction"), 2))).alias("rmse")).select(
-            F.lit(t).alias("target"), "rmse"))
-    out = res[0]
-    for r in res[1:]:
-        out = out.unionByName(r)
-    return out
+    """Trees for three targets on features, squares and products, fitted again on the 10 that matter most to all targets:
+    RMSE by target and fold with all features and with those."""
+    from pyspark.ml.regression import DecisionTreeRegressor
+    base = _wide(_cv_frame(spark, d)).withColumn("t_outcome", F.col("outcome").cast("double")).withColumn("t_discount", F.col("l_discount"))
+    targets = ["utility", "t_outcome", "t_discount"]
+    oof, _ = L.refit_on_top(base, lambda: DecisionTreeRegressor(maxDepth=5, seed=7), WIDE, targets, "fold", 5, "row_id", top=10)
+    j = oof.join(base.select("row_id", *targets), "row_id")
+    err = lambda t, w: F.sqrt(F.avg(F.pow(F.col(t) - F.col(f"{t}_{w}"), 2)))
+    by_fold = j.groupBy("fold").agg(*[err(t, w).alias(f"{t}_{w}") for t in targets for w in ("all", "top")])
+    each = [F.struct(F.lit(t).alias("target"), F.col(f"{t}_all").alias("rmse_all"), F.col(f"{t}_top").alias("rmse_top")) for t in targets]
+    return by_fold.select("fold", F.explode(F.array(*each)).alias("r")).select("r.target", "fold", "r.rmse_all", "r.rmse_top")
+
+
+_RUNS, _MEASURED = list(range(1, 8)), ["l_quantity", "l_extendedprice"]
+
+
+def flow_frame(spark, d, n_folds=5, seed=42):
+    """Games whose number divides by 5 stand for the extra data; the runs of a game are its line numbers, measured by tax and
+    supplier, and its estimates those of the reconciliation."""
+    m = matches(spark, d).select("row_id", "game", "utility", "agent1_idx", "agent2_idx", *_MEASURED)
+    li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("game"), "l_linenumber", F.col("l_tax").alias("run_tax"),
+                                            F.col("l_suppkey").cast("double").alias("run_supp"))
+    est = rc.estimates(rc.baseline_pairs(measurements(spark, d), "key", "run", ["ord_a", "ord_b"], _MEASURED, 1), "key", "run")
+    wide = est.groupBy(F.col("key").alias("game")).agg(*[F.max(F.when(F.col("feature") == f, F.col("estimate"))).alias(f"{f}_est")
+                                                         for f in _MEASURED])
+    extra = F.pmod(F.col("game"), F.lit(5)) == 0
+    return T.base_frame(m.where(~extra), m.where(extra), "game", n_folds, seed,
+                        T.run_arrays(li, "game", "l_linenumber", _RUNS, ["run_tax", "run_supp"]), wide)
+
+
+def flow(frame, make_estimator, dropped=None, n_folds=5, seed=42):
+    return T.train(frame, make_estimator, n_folds, len(_RUNS), ["agent1_idx", "agent2_idx", *_MEASURED], ["run_tax", "run_supp"],
+                   _MEASURED, "game", "row_id", "utility", seed, dropped)
+
+
+@register("m8_training_flow")
+def training_flow(spark, d):
+    """The whole flow twice: once with all features, whose importances name the least important one of each fold, then
+    without it: row, fold, target, out-of-fold prediction and its recalibration."""
+    frame = stored(flow_frame(spark, d), "flow")
+    _, models, names = flow(frame, _gbt)
+    return flow(frame, _gbt, T.least_important(models, names, 1))[0]
 
 
 @register("m29_multiclass_outcome")
@@ -289,15 +332,6 @@ def m30(spark, d):
     return out
 
 
-#: The base features, their squares and their products.
-WIDE = FEATURES + [f"{a}*{b}" for i, a in enumerate(FEATURES) for b in FEATURES[i:]]
-
-
-def _wide(m):
-    pairs = [c.split("*") for c in WIDE[len(FEATURES):]]
-    return m.select("*", *[(F.col(a).cast("double") * F.col(b).cast("double")).alias(f"{a}*{b}") for a, b in pairs])
-
-
 def _selection_grams(spark, d):
     m = _wide(matches(spark, d)).withColumn("fold", F.pmod(hash_int(61, "game"), F.lit(5)))
     return L.fold_gram(m, "fold", WIDE, "utility")
