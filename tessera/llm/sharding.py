@@ -55,9 +55,13 @@ def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
                     F.pmod(F.xxhash64(ident, salt), F.lit(buckets)).alias(bucket))
     one = Window.partitionBy("shard", bucket)
     ranked = rows.withColumn(rank, F.row_number().over(one.orderBy(ident, F.col(id_col).cast("string"))) - 1)
+    # small counts are summed first; the permutations are then drawn over as many tasks as a shuffle has, not as few as
+    # the bytes of the counts ask for
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plan = (rows.groupBy("shard", bucket).agg(F.count(F.lit(1)).cast("int").alias(n))
-            .withColumn(P + "perm", _fisher_yates(F.col(n), F.lit(seed + 2), F.col("shard"), F.col(bucket)))
-            .withColumn(P + "first", F.sum(n).over(Window.partitionBy("shard").orderBy(bucket)) - F.col(n)))
+            .withColumn(P + "first", F.sum(n).over(Window.partitionBy("shard").orderBy(bucket)) - F.col(n))
+            .repartition(min(tasks, n_shards * buckets), "shard", bucket)
+            .withColumn(P + "perm", _fisher_yates(F.col(n), F.lit(seed + 2), F.col("shard"), F.col(bucket))))
     return (ranked.join(plan.select(F.col("shard").alias(P + "s"), F.col(bucket).alias(P + "b"), P + "perm", P + "first"),
                         (F.col("shard") == F.col(P + "s")) & (F.col(bucket) == F.col(P + "b")))
             .select(*cols, "shard", "grown_shard",
