@@ -97,7 +97,11 @@ def test_isotonic_monotone(spark):
     assert len(p) == pred.count()
     for _, g in p.groupby("fold"):
         g = g.sort_values(["raw_clipped", "iso"])
-        assert (np.diff(g["iso"].to_numpy()) >= -1e-12).all()
+        fitted = g[g["iso"] != g["raw_clipped"]]
+        assert (np.diff(fitted["iso"].to_numpy()) >= -1e-12).all()
+        raw = g.loc[g["iso"] == g["raw_clipped"], "raw_clipped"]  # a centred fit has no value beyond its first and last x
+        assert len(fitted) > 0.5 * len(g) and g["centred"].all()
+        assert ((raw < fitted["raw_clipped"].min()) | (raw > fitted["raw_clipped"].max())).all()
 
 
 def test_oof_each_row_once(spark):
