@@ -37,6 +37,26 @@ def _sides(spark):
     return pd.DataFrame(out, columns=["game", "agent", "component", "option", "run", "v"])
 
 
+def test_component_tables_shuffle_matches_once(spark):
+    m = _matches(spark)
+    counts, scores = RT.component_counts(m, "game", "agent1", "agent2"), RT.component_scores(m, "game", "agent1", "agent2", "utility")
+    wide = R.wide_labels(scores, "game", "component", "option", "score", "n", COMPONENTS)
+    assert _exchanges(counts) == _exchanges(scores) == _exchanges(wide) == 1
+    by = _sides(spark).groupby(["game", "component", "option"], dropna=False)
+    want = by.agg(n=("v", "size"), agents=("agent", "nunique"), score=("v", "mean")).reset_index()
+    key = lambda g, c, o: (None if pd.isna(g) else int(g), c, None if pd.isna(o) else o)
+    want = {key(*r[:3]): r[3:] for r in want.itertuples(index=False, name=None)}
+    least = {}
+    for (g, c, _), (n, _, _) in want.items():
+        least[g, c] = min(n, least.get((g, c), n))
+    got = counts.collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert want[r.game, r.component, r.option][:2] == (r.match_count, r.agent_count) and r.min_count == least[r.game, r.component]
+    for r in scores.collect():
+        assert want[r.game, r.component, r.option][0] == r.n and abs(want[r.game, r.component, r.option][2] - r.score) < 1e-12
+
+
 def test_elo_games_keep_their_partitions(spark):
     pairs = _matches(spark).where("agent1 <> 'MCTS' and game is not null").groupBy("game", "agent1", "agent2").agg(
         F.count_if(F.col("utility") > 0).alias("wins"), F.count_if(F.col("utility") == 0).alias("draws"), F.count_if(F.col("utility") < 0).alias("losses"))
