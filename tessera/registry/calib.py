@@ -10,9 +10,10 @@ from tessera.operators.scaleclip import scale_clip_box
 from tessera.operators.aggs import two_sided
 from tessera.operators.folds import group_fold_table, group_kfold
 from tessera.operators.ordered import average_rank, dedup_first
-from tessera.operators.ratings import component_rows, packed_field_lookup
+from tessera.operators.ratings import component_rows, component_sides, packed_field_lookup
 from tessera.plans.fixtures import MATCHES_SQL, PREDICTIONS_SQL, matches, predictions
 from tessera.registry import register
+from tessera.sources.sinks import stored
 from tessera.registry.aggs import FOLD_SQL
 from tessera.registry.reshape import COMP_SQL
 from tessera.sources.tables import table
@@ -218,14 +219,13 @@ def m28(spark, d):
 # ---- M36-M38 ---------------------------------------------------------------
 
 def _half_scores(spark, d):
-    m = matches(spark, d)
-    t = two_sided(m, "game", "agent1", "agent2", "utility", extra=["run"])
-    rows = component_rows(t, "game", "agent", extra=["run", "v"]).withColumn("half", F.pmod(F.col("run"), F.lit(2)))
+    rows = component_sides(matches(spark, d), "game", "agent1", "agent2", "utility", extra=["run"])
+    odd, even = F.pmod("run", F.lit(2)) == 1, F.pmod("run", F.lit(2)) == 0
     # scores rounded to 1e-9 + shift so equal means tie in any engine
-    s = rows.groupBy("game", "component", "option", "half").agg(F.round(F.avg("v") + 1e-12, 9).alias("score"))
-    a = s.where("half = 1").select("game", "component", "option", F.col("score").alias("sa"))
-    b = s.where("half = 0").select("game", "component", "option", F.col("score").alias("sb"))
-    return a.join(b, ["game", "component", "option"])
+    score = lambda half: F.round(F.avg(F.when(half, F.col("v"))) + 1e-12, 9)
+    s = rows.groupBy("game", "component", "option").agg(score(odd).alias("sa"), score(even).alias("sb"),
+                                                        F.count_if(odd).alias("_a"), F.count_if(even).alias("_b"))
+    return s.where("_a > 0 and _b > 0 and game is not null and option is not null").select("game", "component", "option", "sa", "sb")
 
 
 _HALF_SQL = f"""{M},
@@ -245,7 +245,7 @@ SELECT round(corr(sa, sb), 6) AS pearson, round(corr(ra, rb), 6) AS spearman,
        round(stddev_pop(sa - sb), 6) AS std_diff FROM rk""")
 def m36(spark, d):
     """Run-to-run stability of component ratings: odd vs even runs."""
-    j = _half_scores(spark, d)
+    j = stored(_half_scores(spark, d).select("sa", "sb"), "half_scores")
     r = average_rank(average_rank(j, "sa", "ra"), "sb", "rb")
     e = F.col("sa") - F.col("sb")
     return r.agg(F.round(F.corr("sa", "sb"), 6).alias("pearson"), F.round(F.corr("ra", "rb"), 6).alias("spearman"),
