@@ -43,14 +43,14 @@ def two_sided_mean(df: DataFrame, key: str, a1: str, a2: str, y: str, how: str =
 def profile_pivot(df: DataFrame, key: str, a1: str, a2: str, y: str, agents: Sequence[int],
                   how: str = "negate") -> DataFrame:
     """A3 — key × agent profile, three blocks (as agent1, as agent2, both),
-    NULL where unseen.  One shuffle: every match is exploded to its four
-    block cells, then a single pivot over the explicit value list."""
-    t = two_sided(df, key, a1, a2, y, how)
+    NULL where unseen.  One shuffle: matches are dealt by key, every match is
+    exploded to its four block cells, then a single pivot over the explicit
+    value list; a key's wide row is made in its partition and never moves."""
+    t = two_sided(df.select(key, a1, a2, y).repartition(key), key, a1, a2, y, how)
     tag = F.explode(F.array(F.when(F.col("side") == 1, F.lit("a1")).otherwise(F.lit("a2")), F.lit("all")))
     cells = t.select(key, "agent", "v", tag.alias("_tag")).select(
         key, F.concat_ws("_", "_tag", F.col("agent").cast("string")).alias("_cell"), "v")
     names = [f"{b}_{a}" for b in ("a1", "a2", "all") for a in agents]
-    # reduce to one row per (key, cell) first; the pivot then only moves those
     per_cell = cells.groupBy(key, "_cell").agg(F.avg("v").alias("v"))
     return per_cell.groupBy(key).pivot("_cell", names).agg(F.first("v"))
 

@@ -57,6 +57,19 @@ def test_component_tables_shuffle_matches_once(spark):
         assert want[r.game, r.component, r.option][0] == r.n and abs(want[r.game, r.component, r.option][2] - r.score) < 1e-12
 
 
+def test_profile_pivot_shuffles_matches_once(spark):
+    rows = [(g, i % 4, (i * g) % 4, 0.1 * i) for g in (1, 2, 3) for i in range(13)]
+    p = A.profile_pivot(spark.createDataFrame(rows, "game long, a long, b long, y double"), "game", "a", "b", "y", range(4))
+    assert _exchanges(p) == 1
+    for r in p.collect():
+        mine = [(a, b, y) for g, a, b, y in rows if g == r.game]
+        for k in range(4):
+            one, two = [y for a, _, y in mine if a == k], [-y for _, b, y in mine if b == k]
+            for name, v in (("a1", one), ("a2", two), ("all", one + two)):
+                got = r[f"{name}_{k}"]
+                assert got is None if not v else abs(got - np.mean(v)) < 1e-12
+
+
 def test_elo_games_keep_their_partitions(spark):
     pairs = _matches(spark).where("agent1 <> 'MCTS' and game is not null").groupBy("game", "agent1", "agent2").agg(
         F.count_if(F.col("utility") > 0).alias("wins"), F.count_if(F.col("utility") == 0).alias("draws"), F.count_if(F.col("utility") < 0).alias("losses"))
