@@ -91,3 +91,20 @@ def test_elo_update_against_a_loop(monkeypatch):
         r[g, c, i] = a + RT.ELO_K * (score[s, g] - 1 / (1 + 10 ** ((b - a) / 400)))
         r[g, c, j] += RT.ELO_K * (1 - score[s, g] - 1 / (1 + 10 ** ((a - b) / 400)))
     assert np.allclose(got, r.ravel(), rtol=0, atol=1e-10)
+
+
+def test_char_grams_one_scan(spark):
+    texts = ["", "a", "ABab  ab", "héé \n\n x😀😀x😀", "".join(chr(200 + i * 37 % 900) for i in range(2000)), "ab" * 300, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = X.char_gram_counts(docs.select("doc_id", X.char_text(F.col("text")).alias("c")), "doc_id", "c", 7)
+    assert _plan(got).count("Scan") == 1 and "Union" not in _plan(got)
+    chars = {r.doc_id: r.c for r in docs.select("doc_id", X.char_array(F.col("text")).alias("c")).collect()}
+    rows = got.collect()
+    assert len(rows) == 7 * len(texts)
+    for r in rows:
+        c = chars[r.doc_id]
+        if c is None:
+            assert r.n_grams == r.n_distinct and r.n_grams in (None, -1)
+            continue
+        grams = ["".join(c[i:i + r.n]) for i in range(len(c) - r.n + 1)]
+        assert (r.n_grams, r.n_distinct) == (len(grams), len(set(grams))), (r, texts[r.doc_id][:20])
