@@ -71,9 +71,12 @@ def test_profile_pivot_shuffles_matches_once(spark):
 
 
 def test_elo_games_keep_their_partitions(spark):
-    pairs = _matches(spark).where("agent1 <> 'MCTS' and game is not null").groupBy("game", "agent1", "agent2").agg(
+    pairs = _matches(spark).where("agent1 <> 'MCTS'").groupBy("game", "agent1", "agent2").agg(
         F.count_if(F.col("utility") > 0).alias("wins"), F.count_if(F.col("utility") == 0).alias("draws"), F.count_if(F.col("utility") < 0).alias("losses"))
-    assert "REPARTITION_BY_NUM" in _plan(RT.elo_of_pairs(pairs, 5, 71))  # AQE merges others by bytes
+    elo = RT.elo_of_pairs(pairs, 5, 71)
+    assert "REPARTITION_BY_NUM" in _plan(elo)  # AQE merges others by bytes
+    played = elo.groupBy("game", "component").agg(F.sum("match_count").alias("n")).collect()
+    assert len(played) == 3 * len(COMPONENTS) and {r.n for r in played} == {10}  # the null game is one too
 
 
 def test_elo_update_against_a_loop(monkeypatch):
@@ -108,3 +111,15 @@ def test_char_grams_one_scan(spark):
             continue
         grams = ["".join(c[i:i + r.n]) for i in range(len(c) - r.n + 1)]
         assert (r.n_grams, r.n_distinct) == (len(grams), len(set(grams))), (r, texts[r.doc_id][:20])
+
+
+def test_tfidf_deals_weights_by_text_once(spark):
+    docs = spark.createDataFrame([(1, "aa bb cc"), (2, "aa bb bb"), (3, "cc dd"), (3, "aa bb cc"), (None, None)], "doc_id long, text string")
+    r = X.tfidf(docs, "doc_id", "text")
+    assert "SortMergeJoin [term" not in _plan(r) and _plan(r).count("Window") >= 1
+    got = {}
+    for x in r.collect():
+        got.setdefault((x.doc_id, x.term), []).append(x.weight)
+    idf = {t: np.log(5 / (1 + n)) + 1 for t, n in {"aa": 2, "bb": 2, "cc": 2, "dd": 1}.items()}  # four texts: the null is one
+    norm = np.sqrt(idf["cc"] ** 2 + idf["dd"] ** 2)
+    assert abs(got[3, "dd"][0] - idf["dd"] / norm) < 1e-12 and len(got[3, "cc"]) == 2 and len(got) == 9
