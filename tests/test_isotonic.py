@@ -111,3 +111,30 @@ def test_queries_agree_with_plain_fits(spark):
     assert len(m12) == len(p)
     both = np.sqrt(np.mean((m12.set_index("row_id").iso.loc[p.row_id].to_numpy() - y) ** 2)), np.sqrt(np.mean((c - y) ** 2))
     assert both[0] < both[1]
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_ranges_pool_every_training_set_in_one_pass(spark, weight):
+    rng = np.random.default_rng(8)
+    x, y = series("noise", 4000, rng)
+    f, w = rng.integers(0, 3, len(x)), rng.integers(1, 4, len(x)).astype(float)
+    rows = [*zip(f.tolist(), x.tolist(), y.tolist(), w.tolist())] + [(None, 0.1, 0.2, 1.0), (1, None, 0.2, 1.0)]
+    d = spark.createDataFrame(rows, "fold int, x double, y double, w double")
+    blocks = I.training_blocks(d, "x", "y", "fold", 3, weight)
+    assert blocks.count() < 0.2 * I.training_cells(d, "x", "y", "fold", 3, weight).count()
+    got = I.pooled_blocks(blocks).orderBy("t", "lo").collect()
+    for t in range(3):
+        want = pava(x[f != t], y[f != t], w[f != t] if weight else None)
+        assert np.allclose([(r.lo, r.hi, r.wy / r.w, r.wx / r.w) for r in got if r.t == t], want, atol=1e-9)
+
+
+@pytest.mark.parametrize("centred", [False, True])
+def test_cv_is_the_same_with_few_and_many_knots(spark, centred):
+    rng = np.random.default_rng(9)
+    x, y = series("noise", 1500, rng)
+    rows = [*zip(range(len(x)), rng.integers(0, 3, len(x)).tolist(), (1.2 * x).tolist(), y.tolist())] + [(9001, None, 0.1, 0.5), (9002, 1, None, 0.5)]
+    d = spark.createDataFrame(rows, "id long, fold int, p double, y double")
+    few, many = ({r.id: (r.iso, r.centred) for r in I.isotonic_cv(d, "p", "y", "fold", 3, "id", centred=centred, few_knots=n).collect()}
+                 for n in (I.FEW_KNOTS, 0))
+    assert few.keys() == many.keys() and len(few) == len(rows)
+    assert all(few[i][1] == many[i][1] and (few[i][0] == many[i][0] or abs(few[i][0] - many[i][0]) < 1e-9) for i in few)
