@@ -22,7 +22,8 @@ from tessera.operators.gram import block_gram
 from tessera.operators.ordered import average_rank, global_prefix_sum
 from tessera.sources.sinks import stored
 
-FIT_THREADS = 4
+#: Fits side by side, and the rows of a frame up to which they are.
+FIT_THREADS, FEW_ROWS = 4, 1_000_000
 
 
 def ordinal_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -107,8 +108,11 @@ def cluster_diagnostics(df: DataFrame, cluster: str, arr: str) -> DataFrame:
                        share(rest["_s"], rest["_c"]).alias("out_mean_row_std"), share(rest["_z"], rest["n"]).alias("out_mean_nulls"))
 
 
-def fit_folds(folds: Sequence[int], fit_one):
-    with ThreadPoolExecutor(max_workers=min(FIT_THREADS, len(folds))) as ex:
+def fit_folds(folds: Sequence[int], fit_one, frame: DataFrame):
+    """``fit_one`` of each fold: side by side on a small frame, whose stages leave cores idle; one after the other on a larger
+    one, where each fit fills the cores and its binned rows are to stay in memory beside the frame."""
+    threads = FIT_THREADS if frame.count() <= FEW_ROWS else 1
+    with ThreadPoolExecutor(max_workers=min(threads, len(folds))) as ex:
         return list(ex.map(fit_one, folds))
 
 
@@ -137,7 +141,7 @@ def grouped_cv(df: DataFrame, make_estimator, features: Sequence[str], label: st
         pred = model.transform(x.where(F.col(fold) == f)).select(row_id, fold, F.col("prediction"))
         return model, pred
 
-    results = fit_folds(list(range(n_folds)), fit_one)
+    results = fit_folds(list(range(n_folds)), fit_one, x)
     oof = results[0][1]
     for _, p in results[1:]:
         oof = oof.unionByName(p)
@@ -198,7 +202,7 @@ def refit_on_top(df: DataFrame, make_estimator, features: Sequence[str], targets
             te = again.setPredictionCol(f"{t}_top").transform(te)
         return kept, te.select(row_id, fold, *[f"{t}_{w}" for t in targets for w in ("all", "top")])
 
-    found = fit_folds(range(n_folds), one)
+    found = fit_folds(range(n_folds), one, x)
     oof = found[0][1]
     for _, p in found[1:]:
         oof = oof.unionByName(p)

@@ -103,7 +103,7 @@ def train(frame: DataFrame, make_estimator: Callable, n_folds: int, n_runs: int,
         model = fit.fit(training)
         return model, names, model.transform(rows.where("is_test")).select(row, "fold", label, "prediction")
 
-    found = fit_folds(range(n_folds), one)
+    found = fit_folds(range(n_folds), one, frame)
     oof = found[0][2]
     for _, _, p in found[1:]:
         oof = oof.unionByName(p)

@@ -128,3 +128,24 @@ def test_refit_on_the_features_of_all_targets(table):
     every = {r.id: r.prediction for r in L.grouped_cv(df, tree, ["a", "b", "c", "d"], "y", "fold", 3, "id").collect()}
     got = {r.id: r for r in oof.collect()}
     assert all(abs(got[i].z_top - alone[i]) < 1e-12 and abs(got[i].y_all - every[i]) < 1e-12 for i in range(300))
+
+
+def test_large_frames_are_fitted_one_fold_after_the_other(table, monkeypatch):
+    import threading
+    _, _, df = table
+    for most, side_by_side in ((L.FEW_ROWS, True), (299, False)):
+        monkeypatch.setattr(L, "FEW_ROWS", most)
+        seen = L.fit_folds(range(3), lambda f: (f, threading.get_ident()), df)
+        assert [f for f, _ in seen] == [0, 1, 2] and (side_by_side or len({t for _, t in seen}) == 1)
+    running, most_running, lock = [0], [0], threading.Lock()
+
+    def one(f):
+        with lock:
+            running[0] += 1
+            most_running[0] = max(most_running[0], running[0])
+        df.count()
+        with lock:
+            running[0] -= 1
+
+    L.fit_folds(range(3), one, df)
+    assert most_running[0] == 1
