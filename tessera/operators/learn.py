@@ -235,6 +235,46 @@ def cv_rmse_from_gram(grams: dict[int, np.ndarray], subset: Sequence[int], ridge
     return float(np.sqrt(max(sse, 0.0) / n))
 
 
+def moment_rows(spark, gram: np.ndarray, features: Sequence[str], label: str) -> DataFrame:
+    """Two rows a column (``features`` vector, label, ``weight``) with the sums, products and row count of a Gram matrix [1, X, y]:
+    linear estimators that read nothing else get the same model from them as from the rows."""
+    from pyspark.ml.linalg import Vectors
+    n, mean = gram[0, 0], gram[0, 1:] / gram[0, 0]
+    cov = gram[1:, 1:] / n - np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    scale = np.where(scale > 0, scale, 1.0)
+    size, axes = np.linalg.eigh(cov / np.outer(scale, scale))
+    steps = (axes * np.sqrt(np.maximum(size, 0.0) * len(mean))).T * scale
+    points = np.vstack([mean + steps, mean - steps])
+    rows = [(Vectors.dense(p[:-1].tolist()), float(p[-1]), float(n / len(points))) for p in points]
+    return spark.createDataFrame(rows, schema=["features", label, "weight"]).coalesce(1)
+
+
+def linear_search(df: DataFrame, estimator, trials: Sequence[dict], features: Sequence[str], label: str, fold: str, n_folds: int):
+    """(mean RMSE over the folds of each trial, model of the best trial on all rows): linear regressions with the trials'
+    parameters, cross-validated from one Gram matrix a fold, so rows are read once for all trials and folds."""
+    spark, known = df.sparkSession, F.lit(True)
+    for c in (*features, label):
+        known = known & F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False))
+    whole = df.select(fold, *[F.when(known, F.col(c)).alias(c) for c in (*features, label)], F.when(known, 0).otherwise(1).alias("_gone"))
+    grams = fold_gram(whole, fold, ["_gone", *features], label)
+    if any(g[1, 1] for g in grams.values()):
+        raise ValueError("features and label must not be NULL, NaN or infinite")
+    grams = {f: np.delete(np.delete(g, 1, 0), 1, 1) for f, g in grams.items()}
+    if set(grams) != set(range(n_folds)):
+        raise ValueError(f"every fold from 0 to {n_folds - 1} must have rows, and no other")
+    total, scores = sum(grams.values()), np.zeros(len(trials))
+    fit = estimator.copy({estimator.labelCol: label, estimator.weightCol: "weight"})
+    for g in grams.values():
+        train = moment_rows(spark, total - g, features, label).cache()
+        for i, trial in enumerate(trials):
+            m = fit.fit(train, trial)
+            b = np.r_[m.intercept, m.coefficients.toArray(), -1.0]
+            scores[i] += np.sqrt(max(b @ g @ b, 0.0) / g[0, 0]) / n_folds
+        train.unpersist()
+    return scores.tolist(), fit.fit(moment_rows(spark, total, features, label), trials[int(np.argmin(scores))])
+
+
 def nested_cv_linear(df: DataFrame, x: str, y: str, outer: str, inner: str, row_id: str) -> DataFrame:
     """M24 — nested CV with 1-feature OLS, exact and shuffle-light:
     per (outer, inner) cell sufficient statistics; the inner model for

@@ -136,9 +136,8 @@ def m31(spark, d):
 def m10(spark, d):
     """L1 linear fit of price on quantity with interaction terms (x·n, n²),
     regularisation chosen by 5-fold CV on the fold column."""
-    from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.regression import LinearRegression
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    from pyspark.ml.tuning import ParamGridBuilder
     li = table(spark, d, "lineitem")
     x = li.select((F.col("l_extendedprice") / 1000.0).alias("y"), "l_quantity",
                   F.col("l_linenumber").cast("double").alias("n"),
@@ -146,13 +145,9 @@ def m10(spark, d):
                   (F.col("l_linenumber") * F.col("l_linenumber")).cast("double").alias("n2"),
                   F.pmod(hash_int(5, "l_orderkey", "l_linenumber"), F.lit(5)).cast("int").alias("fold"))
     feats = ["l_quantity", "n", "x_n", "n2"]
-    a = L.fit_frame(L.assemble(x, feats))
     lr = LinearRegression(labelCol="y", elasticNetParam=1.0)
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.001, 0.01, 0.1]).build()
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol="y"),
-                        foldCol="fold", numFolds=5, parallelism=3)
-    best = cv.fit(a).bestModel
-    a.unpersist()
+    _, best = L.linear_search(x, lr, grid, feats, "y", "fold", 5)
     rows = [("intercept", float(best.intercept))] + [(f, float(c)) for f, c in zip(feats, best.coefficients)]
     return spark.createDataFrame(rows, "feature string, coef double")
 
@@ -289,7 +284,7 @@ def m29(spark, d):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array
     base = _cv_frame(spark, d).withColumn("cls", (F.col("outcome") + 1).cast("double"))
-    x = L.fit_frame(L.assemble(base, FEATURES))
+    x = L.fit_frame(L.assemble(base, FEATURES).select("row_id", "fold", "cls", "features"))
     parts = []
     for f in range(5):
         m = LogisticRegression(family="multinomial", labelCol="cls", maxIter=30).fit(x.where(F.col("fold") != f))
@@ -314,7 +309,7 @@ def m30(spark, d):
     from pyspark.ml.regression import LinearRegression
     base = _cv_frame(spark, d)
     cls = (F.when(F.col("utility") > 0.999, 2.0).when(F.col("utility") < -0.999, 0.0).otherwise(1.0))
-    x = L.fit_frame(L.assemble(base.withColumn("sat", cls), FEATURES))
+    x = L.fit_frame(L.assemble(base.withColumn("sat", cls), FEATURES).select("row_id", "fold", "utility", "sat", "features"))
     parts = []
     for f in range(5):
         tr, te = x.where(F.col("fold") != f), x.where(F.col("fold") == f)
@@ -356,26 +351,21 @@ def m33(spark, d):
 @register("m9_correlation_picked")
 def m9_picked(spark, d):
     """Grouped-CV linear regression on the features, squares and products whose |r| exceeds 0.01 in the fold's training rows."""
-    m = group_kfold(_wide(matches(spark, d)), "game", 5, 42)
+    m = _wide(group_kfold(matches(spark, d).select("row_id", "game", "utility", *FEATURES), "game", 5, 42))
     return G.picked_linear_cv(m, "fold", WIDE, "utility", "row_id", 0.01)[0]
 
 
 @register("m34_random_search")
 def m34(spark, d):
-    """Seeded random search (log-uniform regParam, uniform elasticNet) with
-    CrossValidator on the grouped fold column."""
-    from pyspark.ml.evaluation import RegressionEvaluator
+    """Seeded random search (log-uniform regParam, uniform elasticNet),
+    cross-validated on the grouped fold column."""
     from pyspark.ml.regression import LinearRegression
-    from pyspark.ml.tuning import CrossValidator
-    x = L.fit_frame(L.assemble(_cv_frame(spark, d), FEATURES).withColumn("fold", F.col("fold").cast("int")))
     rng = np.random.default_rng(34)
     lr = LinearRegression(labelCol="utility")
     trials = [{lr.regParam: float(10 ** rng.uniform(-4, 0)), lr.elasticNetParam: float(rng.uniform(0, 1))}
               for _ in range(6)]
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=trials, evaluator=RegressionEvaluator(labelCol="utility"),
-                        foldCol="fold", numFolds=5, parallelism=3).fit(x)
-    x.unpersist()
-    rows = [(i, t[lr.regParam], t[lr.elasticNetParam], float(s)) for i, (t, s) in enumerate(zip(trials, cv.avgMetrics))]
+    scores, _ = L.linear_search(_cv_frame(spark, d), lr, trials, FEATURES, "utility", "fold", 5)
+    rows = [(i, t[lr.regParam], t[lr.elasticNetParam], float(s)) for i, (t, s) in enumerate(zip(trials, scores))]
     return spark.createDataFrame(rows, "trial int, reg_param double, elastic_net double, cv_rmse double")
 
 

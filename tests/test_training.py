@@ -149,3 +149,35 @@ def test_large_frames_are_fitted_one_fold_after_the_other(table, monkeypatch):
 
     L.fit_folds(range(3), one, df)
     assert most_running[0] == 1
+
+
+def test_linear_search_reads_rows_once_and_equals_cross_validation(table):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    _, _, df = table
+    names, lr = ["a", "b", "c", "d"], LinearRegression(labelCol="y", elasticNetParam=0.5)
+    grid = ParamGridBuilder().addGrid(lr.regParam, [0.001, 0.3]).build()
+    want = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol="y"), foldCol="fold",
+                          numFolds=3).fit(L.assemble(df, names))
+    got, best = L.linear_search(df, lr, grid, names, "y", "fold", 3)
+    assert np.allclose(got, want.avgMetrics, rtol=1e-7)
+    assert np.allclose([best.intercept, *best.coefficients], [want.bestModel.intercept, *want.bestModel.coefficients], atol=1e-7)
+    with pytest.raises(ValueError):
+        L.linear_search(df.selectExpr("id", "fold", "if(id = 5, null, a) a", "b", "y"), lr, grid, ["a", "b"], "y", "fold", 3)
+
+
+@pytest.mark.parametrize("name", ["m29", "m30", "m9_picked"])
+def test_only_columns_in_use_are_moved_and_kept(spark, monkeypatch, name):
+    from conftest import SMALL
+    from tessera.registry import learn as R
+
+    class Seen(Exception):
+        pass
+
+    def stop(df, *_):
+        raise Seen(df.columns)
+
+    monkeypatch.setattr(*((R, "group_kfold", stop) if name == "m9_picked" else (L, "fit_frame", stop)))
+    with pytest.raises(Seen) as seen:
+        getattr(R, name)(spark, SMALL)
+    assert not {"agent1", "agent2", "l_discount", "l_quantity*l_quantity"} & set(seen.value.args[0])
