@@ -69,10 +69,15 @@ def estimates(pairs: DataFrame, key: str, run: str) -> DataFrame:
 
 def augment(meas: DataFrame, est: DataFrame, key: str, row_cols: Sequence[str],
             features: Sequence[str], seed: int) -> DataFrame:
-    """M22 over every original row (long form: one row per row × feature)."""
-    long = unpivot(meas.select(*row_cols, *features).withColumn("row_id", hkey(*row_cols)),
-                   ["row_id", key], features, "feature", "original")
-    j = long.join(est.select(key, "feature", "estimate"), [key, "feature"], "left")
-    return j.select("row_id", "feature", "original", "estimate",
-                    interpolate(F.col("original"), F.col("estimate"), seed, "row_id", "feature")
-                    .alias("augmented"))
+    """M22 over every original row (long form: one row per row × feature).
+
+    ``est`` has one row per (key, feature).  A key's estimates are put side by
+    side first, so that a row meets them once, in its own columns, and is
+    named and turned long where the join leaves it."""
+    wide = est.groupBy(key).agg(*[F.max(F.when(F.col("feature") == f, F.col("estimate"))).alias(f"_e{i}") for i, f in enumerate(features)])
+    j = meas.select(*row_cols, *features).join(wide, key, "left").withColumn("row_id", hkey(*row_cols))
+    parts = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("original"), F.col(f"_e{i}").alias("estimate"))
+             for i, f in enumerate(features)]
+    return j.select("row_id", F.explode(F.array(*parts)).alias("_p")).select("row_id", "_p.*").select(
+        "row_id", "feature", "original", "estimate",
+        interpolate(F.col("original"), F.col("estimate"), seed, "row_id", "feature").alias("augmented"))

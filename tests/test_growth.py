@@ -123,3 +123,20 @@ def test_tfidf_deals_weights_by_text_once(spark):
     idf = {t: np.log(5 / (1 + n)) + 1 for t, n in {"aa": 2, "bb": 2, "cc": 2, "dd": 1}.items()}  # four texts: the null is one
     norm = np.sqrt(idf["cc"] ** 2 + idf["dd"] ** 2)
     assert abs(got[3, "dd"][0] - idf["dd"] / norm) < 1e-12 and len(got[3, "cc"]) == 2 and len(got) == 9
+
+
+def test_augment_joins_before_rows_are_long(spark):
+    """Each row meets its key's estimates once; null keys and keys without an estimate keep their values."""
+    from tessera.plans import reconcile as rc
+    meas = spark.createDataFrame([(1, 1, 2.0, 5.0), (1, 2, 4.0, None), (2, 3, 1.0, 1.0), (None, 4, 3.0, 3.0), (1, 1, 2.0, 5.0)],
+                                 "key long, ord long, a double, b double")
+    est = spark.createDataFrame([(1, "a", 3.0), (1, "b", 7.0), (2, "b", None), (None, "a", 9.0)], "key long, feature string, estimate double")
+    out = rc.augment(meas, est, "key", ["ord", "key"], ["a", "b"], 7)
+    plan = _plan(out)
+    assert plan.index("Generate") < plan.index("Join") and "Expand" not in plan
+    got = sorted(((r.row_id, r.feature, r.original, r.estimate) for r in out.collect()), key=str)
+    assert got == sorted([("1|1", "a", 2.0, 3.0), ("1|1", "b", 5.0, 7.0)] * 2 + [("2|1", "a", 4.0, 3.0), ("2|1", "b", None, 7.0)]
+                         + [("3|2", "a", 1.0, None), ("3|2", "b", 1.0, None), ("4", "a", 3.0, None), ("4", "b", 3.0, None)], key=str)
+    for r in out.collect():
+        lo, hi = sorted((r.original if r.original is not None else r.estimate, r.estimate if r.estimate is not None else r.original))
+        assert lo <= r.augmented <= hi
