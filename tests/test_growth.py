@@ -140,3 +140,31 @@ def test_augment_joins_before_rows_are_long(spark):
     for r in out.collect():
         lo, hi = sorted((r.original if r.original is not None else r.estimate, r.estimate if r.estimate is not None else r.original))
         assert lo <= r.augmented <= hi
+
+
+def test_stream_plays_games_side_by_side(spark):
+    """Batches of a few games each, with options of no list, agents of few parts and games that a batch leaves out."""
+    from tessera.session import fresh_path
+    from tessera.streaming import incremental as S
+    names = [*AGENTS, "MCTS-Other-0.1-New-true", "MCTS-Other-0.6-MAST"]
+    rows = [(g, s, names[(s + g) % 6], names[(s * s + 2 * g) % 6], (s % 3) / 2) for g in range(5) for s in range(40 + 20 * g) if g != 3 or s >= 20]
+    draws = spark.createDataFrame(rows, "game long, step int, agent1 string, agent2 string, score double")
+    blocks = ((b, draws.where(F.floor(F.col("step") / 20) == b).repartition(5)) for b in range(6))
+    got = S.running_elo(spark, *S.stage_blocks(blocks, "block", "game", fresh_path(spark, "blocks"))).collect()
+    rating, count, agents = {}, {}, {}
+    for g, _, a1, a2, s in sorted(rows):
+        k1, k2 = ([(g, c, o) for c, o in zip(RT.COMPONENT_NAMES, a.split("-")[1:])] for a in (a1, a2))
+        for a, ks in ((a1, k1), (a2, k2)):
+            for k in ks:
+                count[k] = count.get(k, 0) + 1
+                agents.setdefault(k, set()).add(a)
+        for k, m in zip(k1, k2):
+            x, y = rating.get(k, 1000.0), rating.get(m, 1000.0)
+            e = 1 / (1 + 10 ** ((y - x) / 400))
+            if k != m:
+                rating[k], rating[m] = x + 4 * (s - e), y + 4 * (e - s)
+    assert len(got) == 5 * sum(map(len, COMPONENTS.values()))
+    for r in got:
+        k = (r.game, r.component, r.option)
+        assert abs(r.elo - rating.get(k, 1000.0)) < 1e-9
+        assert (r.match_count, r.agent_count) == (count.get(k, 0), len(agents.get(k, ())))
