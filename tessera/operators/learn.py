@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import uniform
+from tessera.operators import trees as TR
 from tessera.operators.gram import block_gram
 from tessera.operators.ordered import average_rank, global_prefix_sum
-from tessera.sources.sinks import stored
+from tessera.sources.sinks import stored, stored_once
 
 #: Fits side by side, and the rows of a frame up to which they are.
 FIT_THREADS, FEW_ROWS = 4, 1_000_000
@@ -116,6 +117,69 @@ def fit_folds(folds: Sequence[int], fit_one, frame: DataFrame):
         return list(ex.map(fit_one, folds))
 
 
+def _is_linear(est) -> bool:
+    """A linear regression that reads nothing but sums and products of the rows."""
+    from pyspark.ml.regression import LinearRegression
+    return type(est) is LinearRegression and est.getLoss() == "squaredError" and est.getSolver() in ("auto", "normal")
+
+
+def at_once(est, weight: str | None = None, n_features: int = 0) -> bool:
+    """Whether the estimator is fitted for all folds in the same passes where rows are many."""
+    kind = TR.kind_of(est)
+    if kind is None:
+        return _is_linear(est) and weight is None and n_features < 4096
+    return not (weight and (kind.bootstrap or kind.min_rows > 1))
+
+
+def ids_are_keys(df: DataFrame, row_id: str) -> bool:
+    """Whether no row lacks its id and no two share one (told by a hash), so that a join on it only finds a row's own values."""
+    ids = df.select(F.when(F.col(row_id).isNotNull(), F.xxhash64(row_id)).alias("_h"))
+    return ids.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_h").isNull() | (F.col("_n") > 1)).isEmpty()
+
+
+def cv_models(x: DataFrame, est, features: Sequence[str], label: str, fold: str, n_folds: int, n_rows: int,
+              weight: str | None = None, stop=None, packs: dict | None = None) -> list:
+    """The estimator's model of each fold, trained on the rows of all others in passes that serve every fold; ``x`` is a table."""
+    kind = TR.kind_of(est)
+    if kind is None:
+        grams = clean_grams(x, features, label, fold)
+        total = sum(grams.values())
+        fit = est.copy({est.labelCol: label, est.weightCol: "weight"}).setFeaturesCol("features")
+        return [fit.fit(moment_rows(x.sparkSession, total - grams.get(f, 0.0), features, label)) for f in range(n_folds)]
+    packs = {} if packs is None else packs
+    key = (tuple(features), label, weight, kind.bins, stop is None)
+    if key not in packs:
+        packs[key] = TR.pack(x, [F.col(c).cast("double") for c in features], features, [F.col(label)], F.col(fold), n_folds,
+                             kind.bins, n_rows, F.col(weight) if weight else None, stop)
+    models = TR.grow(packs[key], kind)
+    return [models[0, f] for f in range(n_folds)]
+
+
+def fold_prediction(models: Sequence, features: Sequence[str], fold: str):
+    """A column: what the model of the row's fold predicts."""
+    if isinstance(models[0], TR.Trees):
+        return TR.predictions([models], [F.col(c) for c in features], F.col(fold), ["p"])["p"]
+    out = F.lit(None).cast("double")
+    for f, m in enumerate(models):
+        y = sum((F.lit(float(b)) * F.col(c) for b, c in zip(m.coefficients.toArray(), features)), F.lit(float(m.intercept)))
+        out = F.when(F.col(fold) == f, y).otherwise(out)
+    return out
+
+
+def _oof_at_once(df: DataFrame, est, features: Sequence[str], label: str, fold: str, n_folds: int, row_id: str, n_rows: int,
+                 carry: Sequence[str] = (), weight: str | None = None, group: str | None = None, validation_frac: float = 0.0, seed: int = 7,
+                 at_rest: bool = False):
+    """(out-of-fold table with ``carry``, models): rows are written once, packed once and read in one pass a level."""
+    tested = F.col(fold).between(0, n_folds - 1)
+    stops = bool(validation_frac > 0 and group and est.hasParam("validationIndicatorCol"))
+    cols = dict.fromkeys([row_id, fold, label, *features, *carry, *([weight] if weight else []), *([group] if stops else [])])
+    x = df if at_rest else stored(df.select(*cols), "cv_frame")
+    stop = uniform(seed, group) < validation_frac if stops else None
+    models = cv_models(x.where(F.col(fold).isNotNull()), est, features, label, fold, n_folds, n_rows, weight, stop)
+    oof = x.where(tested).select(row_id, fold, *carry, fold_prediction(models, features, fold).alias("prediction"))
+    return stored(oof, "oof"), models
+
+
 def grouped_cv(df: DataFrame, make_estimator, features: Sequence[str], label: str, fold: str,
                n_folds: int, row_id: str, group: str | None = None, weight: str | None = None,
                validation_frac: float = 0.0, seed: int = 7, keep_models: bool = False):
@@ -123,7 +187,12 @@ def grouped_cv(df: DataFrame, make_estimator, features: Sequence[str], label: st
 
     ``validation_frac`` carves an early-stopping validation slice out of
     the *training* groups (hashed per group), never the test fold.
+    Many rows are fitted for all folds in the same passes (linear models
+    and trees) or one fold after the other (all else).
     """
+    if at_once(make_estimator(), weight, len(features)) and (n_rows := df.count()) > FEW_ROWS:
+        oof, models = _oof_at_once(df, make_estimator(), features, label, fold, n_folds, row_id, n_rows, (), weight, group, validation_frac, seed)
+        return (oof, models) if keep_models else oof
     x = assemble(df, features).select(row_id, fold, label, "features",
                                       *([group] if group else []), *([weight] if weight else []))
     if validation_frac > 0 and group:
@@ -154,7 +223,19 @@ def grouped_cv(df: DataFrame, make_estimator, features: Sequence[str], label: st
 def stacked_cv(df: DataFrame, first, first_features: Sequence[str], second, features: Sequence[str], label: str,
                fold: str, n_folds: int, row_id: str, residual: bool = False) -> DataFrame:
     """M25 — (row_id, fold, stage1, prediction): the first model's out-of-fold prediction is a feature of the second, or,
-    with ``residual``, the second is fitted to what the first leaves and added to it."""
+    with ``residual``, the second is fitted to what the first leaves and added to it.  Many rows carry what the second needs
+    through the first instead of being joined to its predictions."""
+    if (at_once(first(), n_features=len(first_features)) and at_once(second(), n_features=len(features) + 1)
+            and (n_rows := df.count()) > FEW_ROWS and ids_are_keys(df, row_id)):
+        carry = [c for c in dict.fromkeys([label, *features]) if c not in (row_id, fold)]
+        one, _ = _oof_at_once(df, first(), first_features, label, fold, n_folds, row_id, n_rows, carry)
+        one = one.withColumnRenamed("prediction", "stage1")
+        if not residual:
+            two, _ = _oof_at_once(one, second(), [*features, "stage1"], label, fold, n_folds, row_id, n_rows, ["stage1"], at_rest=True)
+            return two.select(row_id, fold, "stage1", "prediction")
+        one = one.withColumn("_left", F.col(label) - F.col("stage1"))
+        two, _ = _oof_at_once(one, second(), features, "_left", fold, n_folds, row_id, n_rows, ["stage1"], at_rest=True)
+        return two.select(row_id, fold, "stage1", (F.col("stage1") + F.col("prediction")).alias("prediction"))
     s1 = grouped_cv(df, first, first_features, label, fold, n_folds, row_id).select(row_id, F.col("prediction").alias("stage1"))
     x = df.join(s1, row_id)
     if not residual:
@@ -166,6 +247,13 @@ def stacked_cv(df: DataFrame, first, first_features: Sequence[str], second, feat
 
 def oof_features(df: DataFrame, bases: dict, features: Sequence[str], label: str, fold: str, n_folds: int, row_id: str) -> DataFrame:
     """M26 — df with a column ``oof_<name>`` for the out-of-fold prediction of each base model."""
+    if (all(at_once(make(), n_features=len(features)) for make in bases.values()) and (n_rows := df.count()) > FEW_ROWS
+            and ids_are_keys(df, row_id)):
+        x, packs = stored_once(df, "cv_frame"), {}
+        known = x.where(F.col(fold).isNotNull())
+        found = {n: cv_models(known, make(), features, label, fold, n_folds, n_rows, packs=packs) for n, make in bases.items()}
+        return x.where(F.col(fold).between(0, n_folds - 1)).select("*", *[fold_prediction(m, features, fold).alias(f"oof_{n}")
+                                                                          for n, m in found.items()])
     for name, make in bases.items():
         p = grouped_cv(df, make, features, label, fold, n_folds, row_id)
         df = df.join(p.select(row_id, F.col("prediction").alias(f"oof_{name}")), row_id)
@@ -173,7 +261,17 @@ def oof_features(df: DataFrame, bases: dict, features: Sequence[str], label: str
 
 
 def cv_rmse(df: DataFrame, make_estimator, features: Sequence[str], label: str, fold: str, n_folds: int, row_id: str) -> float:
-    """RMSE of the out-of-fold predictions, one number."""
+    """RMSE of the out-of-fold predictions, one number; of many rows and a linear model, from one Gram matrix a fold."""
+    est = make_estimator()
+    if _is_linear(est) and len(features) < 4096 and df.count() > FEW_ROWS and ids_are_keys(df, row_id):
+        grams = clean_grams(df.where(F.col(fold).isNotNull()), features, label, fold)
+        total, wrong, n = sum(grams.values()), 0.0, 0.0
+        fit = est.copy({est.labelCol: label, est.weightCol: "weight"}).setFeaturesCol("features")
+        for g in (grams[f] for f in range(n_folds) if f in grams):
+            m = fit.fit(moment_rows(df.sparkSession, total - g, features, label))
+            b = np.r_[m.intercept, m.coefficients.toArray(), -1.0]
+            wrong, n = wrong + max(b @ g @ b, 0.0), n + g[0, 0]
+        return float(np.sqrt(wrong / n))
     p = grouped_cv(df, make_estimator, features, label, fold, n_folds, row_id)
     return p.join(df.select(row_id, label), row_id).agg(F.sqrt(F.avg(F.pow(F.col(label) - F.col("prediction"), 2)))).first()[0]
 
@@ -184,9 +282,23 @@ def refit_on_top(df: DataFrame, make_estimator, features: Sequence[str], targets
 
     In each fold a model a target is fitted on all features; the ``top`` of them by importance summed over the targets
     stay for all targets (ties: the earlier feature), and the models are fitted again on these.  The table has
-    row_id, fold and ``<target>_all`` and ``<target>_top``.
+    row_id, fold and ``<target>_all`` and ``<target>_top``; of many rows, which are fitted for all folds and targets in the
+    same passes, it also has the targets, so that it need not be joined to them.
     """
     from pyspark.ml.feature import VectorSlicer
+    kind = TR.kind_of(make_estimator())
+    if kind and not kind.bootstrap and (n_rows := df.count()) > FEW_ROWS and ids_are_keys(df, row_id):
+        x = stored(df.select(row_id, fold, *targets, *features), "cv_frame")
+        cols, number = [F.col(c).cast("double") for c in features], range(len(targets))
+        packed = TR.pack(x.where(F.col(fold).isNotNull()), cols, features, [F.col(t) for t in targets], F.col(fold), n_folds, kind.bins, n_rows)
+        wide = TR.grow(packed, kind, number)
+        matter = [sum(wide[t, f].featureImportances.toArray() for t in number) for f in range(n_folds)]
+        kept = [sorted(np.argsort(-w, kind="stable")[:top].tolist()) for w in matter]
+        again = TR.grow(packed, kind, number, kept)
+        of = lambda found, t: [found[t, f] for f in range(n_folds)]
+        p = TR.predictions([of(m, t) for t in number for m in (wide, again)], cols, F.col(fold), [f"{t}_{w}" for t in targets for w in ("all", "top")])
+        oof = x.where(F.col(fold).between(0, n_folds - 1)).select(row_id, fold, *targets, p.alias("_p")).select(row_id, fold, *targets, "_p.*")
+        return stored(oof, "oof"), [[features[i] for i in k] for k in kept]
     x = fit_frame(assemble(df, features).select(row_id, fold, *targets, "features"))
 
     def one(f):
@@ -250,17 +362,22 @@ def moment_rows(spark, gram: np.ndarray, features: Sequence[str], label: str) ->
     return spark.createDataFrame(rows, schema=["features", label, "weight"]).coalesce(1)
 
 
-def linear_search(df: DataFrame, estimator, trials: Sequence[dict], features: Sequence[str], label: str, fold: str, n_folds: int):
-    """(mean RMSE over the folds of each trial, model of the best trial on all rows): linear regressions with the trials'
-    parameters, cross-validated from one Gram matrix a fold, so rows are read once for all trials and folds."""
-    spark, known = df.sparkSession, F.lit(True)
+def clean_grams(df: DataFrame, features: Sequence[str], label: str, fold: str) -> dict[int, np.ndarray]:
+    """``fold_gram``, and an error where a value is NULL, NaN or infinite."""
+    known = F.lit(True)
     for c in (*features, label):
         known = known & F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False))
     whole = df.select(fold, *[F.when(known, F.col(c)).alias(c) for c in (*features, label)], F.when(known, 0).otherwise(1).alias("_gone"))
     grams = fold_gram(whole, fold, ["_gone", *features], label)
     if any(g[1, 1] for g in grams.values()):
         raise ValueError("features and label must not be NULL, NaN or infinite")
-    grams = {f: np.delete(np.delete(g, 1, 0), 1, 1) for f, g in grams.items()}
+    return {f: np.delete(np.delete(g, 1, 0), 1, 1) for f, g in grams.items()}
+
+
+def linear_search(df: DataFrame, estimator, trials: Sequence[dict], features: Sequence[str], label: str, fold: str, n_folds: int):
+    """(mean RMSE over the folds of each trial, model of the best trial on all rows): linear regressions with the trials'
+    parameters, cross-validated from one Gram matrix a fold, so rows are read once for all trials and folds."""
+    spark, grams = df.sparkSession, clean_grams(df, features, label, fold)
     if set(grams) != set(range(n_folds)):
         raise ValueError(f"every fold from 0 to {n_folds - 1} must have rows, and no other")
     total, scores = sum(grams.values()), np.zeros(len(trials))

@@ -225,7 +225,8 @@ def m26(spark, d):
     from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
     bases = {"linear": LinearRegression, "tree": lambda: DecisionTreeRegressor(maxDepth=5, seed=7),
              "forest": lambda: RandomForestRegressor(numTrees=10, maxDepth=5, seed=7)}
-    x = stored(L.oof_features(_cv_frame(spark, d), bases, ["agent1_idx", "agent2_idx", "run"], "utility", "fold", 5, "row_id"), "with_oof")
+    cv = _cv_frame(spark, d).select("row_id", "fold", "utility", *FEATURES)
+    x = stored(L.oof_features(cv, bases, ["agent1_idx", "agent2_idx", "run"], "utility", "fold", 5, "row_id"), "with_oof")
     variants = {"without": []} | {n: [f"oof_{n}"] for n in bases} | {"all": [f"oof_{n}" for n in bases]}
     rows = [(v, L.cv_rmse(x, LinearRegression, FEATURES + more, "utility", "fold", 5, "row_id")) for v, more in variants.items()]
     return spark.createDataFrame(rows, "variant string, rmse double")
@@ -239,7 +240,7 @@ def m27(spark, d):
     base = _wide(_cv_frame(spark, d)).withColumn("t_outcome", F.col("outcome").cast("double")).withColumn("t_discount", F.col("l_discount"))
     targets = ["utility", "t_outcome", "t_discount"]
     oof, _ = L.refit_on_top(base, lambda: DecisionTreeRegressor(maxDepth=5, seed=7), WIDE, targets, "fold", 5, "row_id", top=10)
-    j = oof.join(base.select("row_id", *targets), "row_id")
+    j = oof if set(targets) <= set(oof.columns) else oof.join(base.select("row_id", *targets), "row_id")
     err = lambda t, w: F.sqrt(F.avg(F.pow(F.col(t) - F.col(f"{t}_{w}"), 2)))
     by_fold = j.groupBy("fold").agg(*[err(t, w).alias(f"{t}_{w}") for t in targets for w in ("all", "top")])
     each = [F.struct(F.lit(t).alias("target"), F.col(f"{t}_all").alias("rmse_all"), F.col(f"{t}_top").alias("rmse_top")) for t in targets]

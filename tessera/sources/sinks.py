@@ -29,6 +29,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_once(df: DataFrame, name: str) -> DataFrame:
+    """``stored``, unless the frame is a table already."""
+    at_rest = df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    return df if at_rest else stored(df, name)
+
+
 def write_keymap_json(df: DataFrame, key: str, value: str, path: str) -> str:
     """K2 — key→value map as JSON lines ``{"key":…, "value":…}``."""
     df.select(F.col(key).alias("key"), F.col(value).alias("value")).write.mode("overwrite").json(path)
