@@ -16,16 +16,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.hashing import hash_int, uniform
+from tessera.functions.hashing import TWO_32, KeyDraws, hash_int, uniform
 from tessera.operators.augment import interpolate
 from tessera.operators.folds import group_kfold
 from tessera.operators.isotonic import isotonic_cv
+from tessera.operators import learn
+from tessera.operators import trees as TR
 from tessera.operators.learn import assemble, fit_folds, fit_frame
 from tessera.operators.reshape import bag_union
-from tessera.sources.sinks import stored
+from tessera.sources.sinks import stored, stored_once
 
 # What an extra row weighs, and what the mean of the runs weighs beside the drawn one.
 EXTRA_WEIGHT, MEAN_SHARE = 0.75, 0.33
@@ -73,23 +76,106 @@ def fold_view(frame: DataFrame, fold: int, n_runs: int, features: Sequence[str],
               measured: Sequence[str], row: str, seed: int, dropped: Sequence[str] = (),
               mean_share: float = MEAN_SHARE) -> tuple[DataFrame, list[str]]:
     """The fold's rows (with ``is_test``) and the features it fits on: a projection of ``frame``."""
+    made, test = view_columns(fold, n_runs, run_values, measured, row, seed, mean_share)
+    names = [c for c in (*features, *run_values) if c not in set(dropped)]
+    kept = [c for c in frame.columns if c not in {*run_values, *measured}]
+    return frame.select(*kept, *[c.alias(n) for n, c in made.items()], test.alias("is_test")), names
+
+
+def view_columns(fold: int, n_runs: int, run_values: Sequence[str], measured: Sequence[str], row: str, seed: int,
+                 mean_share: float = MEAN_SHARE) -> tuple[dict[str, Column], Column]:
+    """The features that depend on the fold, and whether a row is tested in it."""
     test = F.coalesce(F.col("fold") == fold, F.lit(False))
     held = fold % n_runs
     made = {v: run_feature(F.col(f"{v}_runs"), n_runs, held, test, f"{seed}r{fold}", row, v, mean_share) for v in run_values}
     near = {m: F.when(test, F.col(m)).otherwise(interpolate(F.col(m), F.col(f"{m}_est"), f"{seed}a{fold}", row, F.lit(m)))
             for m in measured}
-    names = [c for c in (*features, *run_values) if c not in set(dropped)]
-    kept = [c for c in frame.columns if c not in {*run_values, *measured}]
-    return frame.select(*kept, *[c.alias(n) for n, c in (made | near).items()], test.alias("is_test")), names
+    return made | near, test
+
+
+def drawn_views(n_folds: int, n_runs: int, features: Sequence[str], run_values: Sequence[str], measured: Sequence[str], seed,
+                mean_share: float = MEAN_SHARE):
+    """``view_columns`` of training rows for ``trees.pack``: Arrow batch -> fold by fold an array a feature, from ``_row``, by
+    which rows draw, and the columns the draws choose from."""
+    features, run_values, measured = list(features), list(run_values), set(measured)
+
+    def runs_of(batch, v):
+        c = batch.column(f"{v}_runs")
+        values, known = np.zeros((len(c), n_runs)), np.zeros((len(c), n_runs), bool)
+        here, flat = c.is_valid().to_numpy(zero_copy_only=False), c.flatten()
+        values[here] = flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, n_runs)
+        known[here] = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, n_runs)
+        return values, known
+
+    def mean(values, known, runs):
+        total, n = np.zeros(len(values)), np.zeros(len(values))
+        for r in runs:
+            total, n = total + np.where(known[:, r], values[:, r], 0.0), n + known[:, r]
+        return np.where(n > 0, total / np.maximum(n, 1), np.nan), n > 0
+
+    def view(fold, batch, draws, runs):
+        out, others = [], [r for r in range(n_runs) if r != fold % n_runs] if n_runs > 1 else [0]
+        for n in features:
+            x = TR.numbers(batch, n)
+            if n in measured:
+                near = np.where(batch.column(f"{n}_est").is_valid().to_numpy(zero_copy_only=False), TR.numbers(batch, f"{n}_est"), x)
+                x = np.where(batch.column(n).is_valid().to_numpy(zero_copy_only=False), x, near)
+                low, high = np.minimum(x, near), np.maximum(x, near)
+                x = low + (high - low) * (draws.draw(f"{seed}a{fold}", n) / TWO_32)
+            out.append(x)
+        for v in run_values:
+            values, known = runs[v]
+            few, some = mean(values, known, others)
+            usual = np.where(some, few, mean(values, known, range(n_runs))[0])
+            at = np.arange(len(values)), np.array(others)[draws.draw(f"{seed}r{fold}", v) % max(n_runs - 1, 1)]
+            out.append(np.where(known[at], values[at], usual) * (1.0 - mean_share) + usual * mean_share)
+        return out
+
+    def views(batch):
+        draws, runs = KeyDraws(batch.column("_row")), {v: runs_of(batch, v) for v in run_values}
+        return [view(f, batch, draws, runs) for f in range(n_folds)]
+
+    return views
+
+
+def _train_at_once(frame: DataFrame, est, n_folds: int, n_runs: int, features: Sequence[str], run_values: Sequence[str],
+                   measured: Sequence[str], key: str, row: str, label: str, seed: int, dropped, validation_share: float,
+                   n_rows: int, packs: dict):
+    """(out-of-fold table, models, features by fold) of many rows: every fold's view of a row is packed once, and one pass a
+    level serves the trees of all folds."""
+    kind, names = TR.kind_of(est), [*features, *run_values]
+    stop = uniform(f"{seed}v", key) < validation_share if est.hasParam("validationIndicatorCol") else None
+    what = (tuple(names), tuple(run_values), tuple(measured), n_folds, n_runs, key, row, label, seed, kind.bins, validation_share)
+    if what not in packs:
+        inputs = [*[F.col(n).cast("double") for n in features], *[F.col(f"{m}_est").cast("double") for m in measured],
+                  *[F.col(f"{v}_runs").cast("array<double>") for v in run_values]]
+        packs[what] = TR.pack(frame, [*inputs, F.col(row).cast("string").alias("_row")], names, [F.col(label)], F.col("fold"), n_folds, kind.bins, n_rows,
+                              F.col("sample_weight"), stop, drawn_views(n_folds, n_runs, features, run_values, measured, seed), [row, "fold", label])
+    use = [[i for i, n in enumerate(names) if not dropped or n not in set(dropped[f])] for f in range(n_folds)]
+    found = TR.grow(packs[what], kind, features=use)
+    models = [found[0, f] for f in range(n_folds)]
+    views = [view_columns(f, n_runs, run_values, measured, row, seed)[0] for f in range(n_folds)]
+    tested = [F.coalesce(*[F.when(F.col("fold") == f, views[f].get(n, F.col(n)).cast("double")) for f in range(n_folds)]) for n in names]
+    p = TR.predictions([models], tested, F.col("fold"), ["p"])["p"]
+    oof = stored(frame.where(F.col("fold").between(0, n_folds - 1)).select(row, "fold", label, p.alias("prediction")), "oof")
+    return oof, models, [[names[i] for i in u] for u in use]
 
 
 def train(frame: DataFrame, make_estimator: Callable, n_folds: int, n_runs: int, features: Sequence[str],
           run_values: Sequence[str], measured: Sequence[str], key: str, row: str, label: str, seed: int,
-          dropped: Sequence[Sequence[str]] | None = None, validation_share: float = 0.1):
+          dropped: Sequence[Sequence[str]] | None = None, validation_share: float = 0.1, packs: dict | None = None):
     """(out-of-fold table, models, features by fold): row, fold, label, prediction, iso and centred.
 
-    An estimator with a validation column gets a share of the training groups to stop on, never the test fold.
+    An estimator with a validation column gets a share of the training groups to stop on, never the test fold.  ``packs``,
+    given to several calls on one frame, keeps the rows that the first of them packed.
     """
+    est = make_estimator()
+    kind = TR.kind_of(est)
+    if kind and not kind.bootstrap and kind.min_rows == 1 and (n_rows := frame.count()) > learn.FEW_ROWS:
+        oof, models, names = _train_at_once(stored_once(frame, "flow"), est, n_folds, n_runs, features, run_values, measured, key, row, label,
+                                            seed, dropped, validation_share, n_rows, {} if packs is None else packs)
+        iso = isotonic_cv(oof, "prediction", label, "fold", n_folds, row).select(row, "iso", "centred")
+        return oof.join(iso, row), models, names
     frame = fit_frame(frame)
 
     def one(f):

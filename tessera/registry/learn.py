@@ -264,18 +264,18 @@ def flow_frame(spark, d, n_folds=5, seed=42):
                         T.run_arrays(li, "game", "l_linenumber", _RUNS, ["run_tax", "run_supp"]), wide)
 
 
-def flow(frame, make_estimator, dropped=None, n_folds=5, seed=42):
+def flow(frame, make_estimator, dropped=None, n_folds=5, seed=42, packs=None):
     return T.train(frame, make_estimator, n_folds, len(_RUNS), ["agent1_idx", "agent2_idx", *_MEASURED], ["run_tax", "run_supp"],
-                   _MEASURED, "game", "row_id", "utility", seed, dropped)
+                   _MEASURED, "game", "row_id", "utility", seed, dropped, packs=packs)
 
 
 @register("m8_training_flow")
 def training_flow(spark, d):
     """The whole flow twice: once with all features, whose importances name the least important one of each fold, then
     without it: row, fold, target, out-of-fold prediction and its recalibration."""
-    frame = stored(flow_frame(spark, d), "flow")
-    _, models, names = flow(frame, _gbt)
-    return flow(frame, _gbt, T.least_important(models, names, 1))[0]
+    frame, packs = stored(flow_frame(spark, d), "flow"), {}
+    _, models, names = flow(frame, _gbt, packs=packs)
+    return flow(frame, _gbt, T.least_important(models, names, 1), packs=packs)[0]
 
 
 @register("m29_multiclass_outcome")

@@ -1,12 +1,15 @@
 """Histogram trees of all folds against MLlib's, fold by fold, on rows few enough for MLlib to read all of them for its thresholds."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
+from tessera.functions.hashing import KeyDraws, hash_int
 from tessera.operators import learn as L
 from tessera.operators import trees as TR
+from tessera.plans import training as T
 
 NAMES = list("abcd")
 MAKE = {"tree": lambda: DecisionTreeRegressor(maxDepth=5, seed=7), "linear": LinearRegression,
@@ -97,3 +100,28 @@ def test_bad_values_are_errors(df, monkeypatch):
     for name in ("tree", "linear"):
         with pytest.raises(Exception, match="must not be NULL"):
             L.grouped_cv(df.selectExpr("id", "fold", "if(id = 'r5', null, a) a", "y"), MAKE[name], ["a"], "y", "fold", 3, "id")
+
+
+def test_draws_of_many_keys_are_hash_int(spark):
+    keys = [f"{i * 37}|{i % 7}|{i}" for i in range(300)] + [None, "", "x" * 80, "é|1", "y" * 40, "y" * 41, "y" * 42, "y" * 43]
+    rows = spark.createDataFrame(list(enumerate(keys)), "i int, k string")
+    want = [r.h for r in rows.select("i", hash_int("9r1", "k", F.lit("ev")).alias("h")).orderBy("i").collect()]
+    assert KeyDraws(pa.array(["skipped", *keys])[1:]).draw("9r1", "ev").tolist() == want
+
+
+@pytest.mark.parametrize("dropped", [None, [["a"], [], ["ev"]]])
+def test_flow_of_many_rows(spark, monkeypatch, dropped):
+    rng = np.random.default_rng(1)
+    runs = [(g, r, float(rng.normal())) for g in range(30) for r in range(2) if (g, r) not in {(3, 0), (7, 1)}]
+    rows = [(f"r{i}", int(rng.integers(30)), float(rng.normal()), float(rng.normal())) for i in range(900)]
+    rows = [(*r, float(np.clip(0.5 * r[2] - 0.3 * r[3] + rng.normal() * 0.2, -1, 1))) for r in rows]
+    cols = "row_id string, game long, a double, m double, y double"
+    frame = T.base_frame(spark.createDataFrame([r for r in rows if r[1] < 24], cols), spark.createDataFrame([r for r in rows if r[1] >= 24], cols),
+                         "game", 3, 9, T.run_arrays(spark.createDataFrame(runs, "game long, run int, ev double"), "game", "run", range(2), ["ev"]),
+                         spark.createDataFrame([(g, float(rng.normal())) for g in range(30) if g % 4], "game long, m_est double")).cache()
+    packs: dict = {}
+    run = lambda: T.train(frame, MAKE["boosted"], 3, 2, ["a", "m"], ["ev"], ["m"], "game", "row_id", "y", 9, dropped, packs=packs)
+    (want, models, names), (got, mine, own) = both(monkeypatch, run)
+    assert names == own and len(packs) == 1
+    assert (np.abs(column(got, "prediction", "row_id") - column(want, "prediction", "row_id")) > 1e-9).mean() < 0.01
+    assert [len(m.trees) for m in mine] == [m.getNumTrees for m in models]
